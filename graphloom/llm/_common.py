@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Arrow hands to Python at once; texts are long, so far fewer than Spark's 10,000.
@@ -189,3 +189,26 @@ def part_of(column, cuts: list[int]):
     below = F.expr(f"array(array(0L),{','.join(longs(g) for g in inner)})")
     within = F.when(top == 0, 0).otherwise((top - 1) * step + 1 + F.size(F.filter(F.get(below, top), lambda x: x <= column)) - F.lit(int(step == 1)))
     return F.coalesce(F.when(column.isNotNull(), within), F.lit(0)).cast("int")
+
+
+#: Bits of a filter over rows: fixed, whatever the number of rows.
+FILTER_BITS = 1 << 24
+
+
+def key_hash(*columns: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
+
+
+def row_filter(rows: DataFrame, h: Column) -> DataFrame:
+    """A filter of FILTER_BITS bits over the rows' hashes, as a table of at most FILTER_BITS / 32768 bitmaps."""
+    at = rows.select(h.alias("h"))
+    return at.groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+
+
+def marked(df: DataFrame, h: Column, filter_: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the filter has the row's hash."""
+    joined = df.withColumn("_h", h).withColumn("_b", F.bitmap_bucket_number("_h")).join(F.broadcast(filter_), F.col("_b") == F.col("_bucket"), "left")
+    place = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) & 1")
+    return joined.withColumn("_byte", byte).withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_h", "_b", "_bucket", "_bits", "_byte")

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, powers, prefix_hash, slices, small_batches, stored, utf8
+from ._common import key_hash, marked, mix, powers, prefix_hash, row_filter, slices, small_batches, stored, utf8
 
 WINDOW = 50
 GRAM = 24
@@ -40,7 +40,6 @@ SPAN = WINDOW - GRAM + 1
 #: Bytes of a context: up to SPAN strings of WINDOW bytes.
 CONTEXT = WINDOW + SPAN - 1
 PIECE = 1 << 20
-FILTER_BITS = 1 << 24
 ANCHOR_BITS = 1 << 27
 LAST = (1 << 63) - 1
 #: Splitters are taken from about so many sampled anchors.
@@ -235,25 +234,6 @@ def resolve(found: Contexts) -> list[np.ndarray]:
     return [np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(4)]
 
 
-def _key_hash(*columns: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
-
-
-def _filter(rows: DataFrame, h: Column) -> DataFrame:
-    """A filter of FILTER_BITS bits over the rows' hashes, as a table of at most FILTER_BITS / 32768 bitmaps."""
-    at = rows.select(h.alias("h"))
-    return at.groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-
-
-def _marked(df: DataFrame, h: Column, filter_: DataFrame, name: str) -> DataFrame:
-    """df with a boolean column: whether the filter has the row's hash."""
-    joined = df.withColumn("_h", h).withColumn("_b", F.bitmap_bucket_number("_h")).join(F.broadcast(filter_), F.col("_b") == F.col("_bucket"), "left")
-    place = F.bitmap_bit_position("_h")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) & 1")
-    return joined.withColumn("_byte", byte).withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_h", "_b", "_bucket", "_bits", "_byte")
-
-
 def _send_anchors(bucket_bits: int, modulus: int):
     """Distinct anchor hashes (48 bits) of a task by their top bits, and whether two of its documents have them."""
     kinds = [("bucket", pa.int32()), ("hashes", pa.binary()), ("samples", pa.binary())]
@@ -465,10 +445,10 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
     first = stored(first, "texts-once")
     total = first.agg(F.sum("_bytes")).first()[0] or 0
     repeats = first.filter("_n > 1")
-    marked = _marked(rows, _key_hash("ka"), _filter(repeats, _key_hash("ka")), "_maybe")
-    moved = marked.filter("_maybe").drop("_maybe").join(first.select(F.col("ka").alias("_a"), F.col("kb").alias("_c"), "_first"), (F.col("ka") == F.col("_a")) & (F.col("kb") == F.col("_c")))
+    known = marked(rows, key_hash("ka"), row_filter(repeats, key_hash("ka")), "_maybe")
+    moved = known.filter("_maybe").drop("_maybe").join(first.select(F.col("ka").alias("_a"), F.col("kb").alias("_c"), "_first"), (F.col("ka") == F.col("_a")) & (F.col("kb") == F.col("_c")))
     moved = stored(moved.select("doc_id", *own, "text", "d", "rk", (F.col("d") > F.col("_first")).alias("copy")), "repeated-texts")
-    single = marked.filter(~F.col("_maybe")).select("doc_id", *own, "text", "d", "rk", F.lit(False).alias("copy"))
+    single = known.filter(~F.col("_maybe")).select("doc_id", *own, "text", "d", "rk", F.lit(False).alias("copy"))
     sources = single.unionByName(moved.filter(~F.col("copy"))).filter(F.octet_length("text") >= WINDOW)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -492,7 +472,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
     spans = stored(spans, "spans")
 
     listed = spans.groupBy("d", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    at = lambda df: _marked(df, _key_hash("rk"), _filter(spans, _key_hash("rk")), "_hit")
+    at = lambda df: marked(df, key_hash("rk"), row_filter(spans, key_hash("rk")), "_hit")
     everyone = at(single.unionByName(moved))
     hit = everyone.filter("_hit").drop("_hit").join(listed, ["d", "rk"], "left")
     clean = everyone.filter(~F.col("_hit")).drop("_hit").withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
