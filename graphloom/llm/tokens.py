@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,48 @@ REMEMBERED = 1_000_000
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 
+class _Pieces(dict):
+    """Ids of pieces of texts, encoded when first asked for.
+
+    A piece that starts with a newline stands for itself; others follow a blank. A run of Latin letters is one
+    pre-token, whose ids the tokenizer's model gives at once; a newline before it and a comma or full stop after it are
+    others. All else goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer, keeps_space: bool, dtype: np.dtype):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.keeps_space = tokenizer, tokenizer.model.tokenize, keeps_space
+        self.pack = "H" if dtype.itemsize == 2 else "I"
+        self.ends = {mark: self.whole(mark) for mark in (",", ".", "\n")}
+        # The library's byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(others)} | {b: chr(b) for b in plain}
+
+    def whole(self, text: str) -> bytes:
+        return array(self.pack, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        first, last = piece[:1], piece[-1:]
+        before = self.ends["\n"] if first == "\n" else b""
+        after = self.ends[last] if last in (",", ".") and last else b""
+        stem = piece[1 if before or first == "\n" else 0 : -1 if after else None]
+        if stem.isalpha() and (stem.isascii() or max(stem) <= "\u024f" and "\u0130" not in stem):
+            if not self.keeps_space:
+                stem = stem.lower()
+            if not stem.isascii():
+                stem = stem.encode().decode("latin-1").translate(self.letters)
+            if self.keeps_space and first != "\n":
+                stem = "\u0120" + stem
+            ids = array(self.pack, [t.id for t in self.tokenize(stem)]).tobytes()
+            if before or after:
+                ids = before + ids + after
+        else:
+            ids = self.whole(piece if first == "\n" or not self.keeps_space else " " + piece)
+        if len(self) < REMEMBERED:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes (uint16 where the vocabulary fits, else uint32).
 
@@ -27,59 +70,28 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = bool(self.encode_whole([" "])[0])
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.tokenizer, self.keeps_space, self.dtype)
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: dict[int, list[str]] = {}
-        whole = []
-        for i, text in enumerate(texts):
+        ids = self.known.__getitem__
+        out = []
+        for text in texts:
             if not self.keeps_space:
-                pieces[i] = text.replace("\n", " ").split(" ")
+                out.append(b"".join(map(ids, text.replace("\n", " ").split(" "))))
             elif "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] in (" ", "\n") or any(c in text for c in _OTHER_SPACE):
-                whole.append(i)
+                out.append(self.known.whole(text))
             elif text:
-                # A key holds its own white space: "\nword", " word", and "word" for the first.
+                # A piece holds its own white space: "\nword", or " word" as "word"; the first one has none.
                 first, *rest = text.replace("\n", " \n").split(" ")
-                pieces[i] = [first, *rest]
-            else:
-                out[i] = b""
-        for i, ids in zip(whole, self.encode_whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        known = self.known
-        missing = set().union(*pieces.values()) - known.keys()
-        extra: dict[str, bytes] = {}
-        if missing:
-            names = list(missing)
-            lead = " " if self.keeps_space else ""
-            fresh = dict(zip(names, self.encode_whole([x if x[:1] == "\n" or not x else lead + x for x in names]), strict=True))
-            if len(known) + len(fresh) <= REMEMBERED:
-                known.update(fresh)
-            else:
-                extra = fresh
-        table = known if not extra else _Both(extra, known)
-        for i, parts in pieces.items():
-            if self.keeps_space:
-                out[i] = (self.encode_whole([parts[0]])[0] if parts[0] else b"") + b"".join(map(table.__getitem__, parts[1:]))
+                out.append((self.known.whole(first) if first else b"") + b"".join(map(ids, rest)))
             else:
-                out[i] = b"".join(map(table.__getitem__, parts))
+                out.append(b"")
         return out
 
 
-class _Both:
-    """A lookup in two dictionaries."""
-
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; its pieces live as long as the worker."""
