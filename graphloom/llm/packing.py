@@ -17,6 +17,7 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,12 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-MOST_NODES = 20_000
+MOST_NODES = 600
+#: Fillings that are compared at a node, and how often the rest is packed by best fit for a new incumbent.
+CHOICES = 64
+LOOK = 25
+#: Pieces tried at a node.
+STEPS = 500
 
 #: Lengths of a bin, descending, and the number of bins filled so.
 Pattern = tuple[tuple[int, ...], int]
@@ -38,21 +44,18 @@ Pattern = tuple[tuple[int, ...], int]
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: no packing has fewer bins. For each k, pieces over capacity - k stand alone, those over
     half a bin apart from each other, and what pieces of at least k don't find room beside them needs more bins."""
-    lengths = sorted(hist)
-    best = -(-sum(n * c for n, c in hist.items()) // capacity)
-    total_from = {}
-    run = 0
-    for n in reversed(lengths):
-        run += hist[n]
-        total_from[n] = run
-    over = [(n, hist[n]) for n in lengths if 2 * n > capacity]
-    for k in [0, *[n for n in lengths if 2 * n <= capacity]]:
-        alone = sum(c for n, c in over if n > capacity - k)
-        half = [(n, c) for n, c in over if n <= capacity - k]
-        room = sum(c for _, c in half) * capacity - sum(n * c for n, c in half)
-        small = sum(n * hist[n] for n in lengths if k <= n and 2 * n <= capacity)
-        best = max(best, alone + sum(c for _, c in half) + max(0, -(-(small - room) // capacity)))
-    return best
+    count = np.zeros(capacity + 2, np.int64)
+    for n, c in hist.items():
+        count[n] = c
+    size = count * np.arange(capacity + 2)
+    counts, sizes = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size)])
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2 + 1  # the first length over half a bin
+    alone = counts[capacity + 1] - counts[capacity - k + 1]
+    apart = counts[np.maximum(capacity - k + 1, half)] - counts[half]
+    room = apart * capacity - (sizes[np.maximum(capacity - k + 1, half)] - sizes[half])
+    small = sizes[half] - sizes[k]
+    return int((alone + apart + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
@@ -96,16 +99,21 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
     return sorted(out.items(), reverse=True)
 
 
-def fillings(hist: dict[int, int], room: int, least: int) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of pieces with a sum from least to room, fullest choices of each size first."""
+def fillings(hist: dict[int, int], room: int, least: int, most_steps: int = STEPS) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of pieces with a sum from least to room, large pieces first; it ends after most_steps tries."""
     lengths = sorted((n for n in hist if n <= room), reverse=True)
+    steps = 0
 
     def extend(at: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        nonlocal steps
         fits = False
         for i in range(bisect.bisect_left(lengths, -left, key=lambda n: -n, lo=at), len(lengths)):
             n = lengths[i]
             if chosen.count(n) < hist[n]:
                 fits = True
+                steps += 1
+                if steps > most_steps:
+                    return
                 yield from extend(i, left - n, (*chosen, n))
         if not fits and room - left >= least and not dominated(chosen, left):
             yield chosen
@@ -139,28 +147,22 @@ def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: i
     state = {"best": best, "bins": sum(c for _, c in best), "nodes": 0}
 
     def search(left: dict[int, int], done: list[Pattern], bins: int, waste: int) -> None:
-        if state["bins"] == bound or state["nodes"] >= most_nodes:
-            return
-        if not left:
-            if bins < state["bins"]:
-                state["best"], state["bins"] = list(done), bins
-            return
-        rest = best_fit(left, capacity)
-        if bins + (found := sum(c for _, c in rest)) < state["bins"]:
-            state["best"], state["bins"] = [*done, *rest], bins + found
-        if bins + lower_bound(left, capacity) >= state["bins"]:
+        """Branch on the fillings around the largest piece, fullest first; waste is what the bins so far leave empty."""
+        if state["nodes"] % LOOK == 0 or len(left) < 2 * LOOK:
+            rest = best_fit(left, capacity) if left else []
+            if bins + (found := sum(c for _, c in rest)) < state["bins"]:
+                state["best"], state["bins"] = [*done, *rest], bins + found
+        spare = (state["bins"] - 1) * capacity - total - waste
+        if not left or spare < 0 or state["bins"] == bound or state["nodes"] >= most_nodes:
             return
         largest = max(left)
-        others = dict(left)
-        others[largest] -= 1
-        if not others[largest]:
-            del others[largest]
-        spare = (state["bins"] - 1) * capacity - total - waste
-        for filling in fillings(others, capacity - largest, capacity - largest - spare):
+        others = {n: c - (n == largest) for n, c in left.items() if c > (n == largest)}
+        room = capacity - largest
+        choices = sorted(islice(fillings(others, room, max(0, room - spare)), CHOICES), key=lambda f: (room - sum(f), len(f)))
+        for filling in choices:
             state["nodes"] += 1
             pattern = (largest, *filling)
-            need = Counter(pattern)
-            gap = capacity - sum(pattern)
+            need, gap = Counter(pattern), capacity - sum(pattern)
             times = min(left[n] // k for n, k in need.items())
             if gap:
                 times = min(times, spare // gap)
