@@ -62,7 +62,7 @@ class ContextTree:
         """The code length of every symbol after the context (its last symbols count)."""
         out, cost, seen = np.zeros(self.size), 0.0, np.zeros(self.size, bool)
         open_ = np.ones(self.size, bool)
-        for k in range(self.order, -1, -1):
+        for k in range(min(self.order, len(context)), -1, -1):
             code = 0
             for c in context[len(context) - k :]:
                 code = code * self.size + c
