@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mix, seeds, shingle_hashes, slices, small_batches, span_hashes, stored, unstore, utf8, word_spans
+from ._common import lean, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, stored, unstore, utf8, word_spans
 from .components import components
 
 WIDTH = 5
@@ -39,6 +40,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 SMALL = 8
+#: Pairs of centres that a later round tries in a bucket.
+CENTRES = 4
 SKETCH_BITS = 18
 SKETCH_ROWS = 2
 RARE = 100.0
@@ -103,7 +106,7 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     texts = docs.filter(F.col("text").isNotNull()).select("text")
     kind = "slice int, counts binary"
-    summed = texts.mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind)
+    summed = texts.mapInArrow(lean(count), kind).groupBy("slice").applyInArrow(add, kind)
     found = {r[0]: np.frombuffer(zlib.decompress(r[1]), "<i8") for r in summed.collect()}  # a fixed number of slices
     if not found:
         return 0, np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
@@ -226,14 +229,15 @@ def _agree(a: Column, b: Column) -> Column:
 
 def _verify(idf, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
+        table, unpress = idf.value, zstandard.ZstdDecompressor()
         for big in batches:
             for lo in range(0, big.num_rows, 64):
                 batch = big.slice(lo, 64)
                 sides = []
                 for c in ("text_a", "text_b"):
                     distinct = batch.column(c).dictionary_encode()
-                    runs, counts, at, _ = _features(distinct.dictionary)
+                    whole = pa.array([unpress.decompress(x).decode() for x in distinct.dictionary.to_pylist()], pa.string())
+                    runs, counts, at, _ = _features(whole)
                     sides.append((distinct.indices.to_pylist(), runs, weights(runs, counts, table), at))
                 (ia, ra, wa, pa_), (ib, rb, wb, pb) = sides
                 near = [similarity(ra[pa_[i] : pa_[i + 1]], wa[pa_[i] : pa_[i + 1]], rb[pb[j] : pb[j + 1]], wb[pb[j] : pb[j + 1]]) for i, j in zip(ia, ib, strict=True)]
@@ -245,7 +249,7 @@ def _verify(idf, threshold: float):
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A filter of FILTER_BITS bits with those of the keys set: a fixed size for the driver."""
-    at = keys.select((F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1).alias("h"))
+    at = keys.select((F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1).alias("h"))
     found = at.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for bucket, bits in found:
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n, sketch = document_frequency(docs)
     idf = spark.sparkContext.broadcast(idf_table(n, sketch))
-    signed = docs.filter(F.col("text").isNotNull()).mapInArrow(_sign(idf, _worker_sampler), _SIGNED)
+    signed = docs.filter(F.col("text").isNotNull()).mapInArrow(lean(_sign(idf, _worker_sampler)), _SIGNED)
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     # One row stands for all texts with the same words.
     nodes = stored(signed.groupBy("key_a", "key_b").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")
@@ -284,16 +288,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = rows.join(ends, F.col("bucket") == F.col("_b")).filter("node <> centre")
         return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
+    keys = own.join(members.select("node").distinct(), "node", "left_semi").select("node", "key_a", "key_b", "samples")
+    texts = stored(_texts(docs, keys.select("key_a", "key_b")).join(keys, ["key_a", "key_b"]).select("node", "samples", "text"), "texts")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: own.select(F.col("node").alias(c), F.col("samples").alias(f"s_{c}"), F.struct("key_a", "key_b").alias(f"k_{c}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("s_a"), F.col("s_b")) >= LEAST_AGREE).select("a", "b", "k_a", "k_b")
-        likely = stored(likely, f"{name}-likely")
-        texts = _texts(docs, likely)
-        left = likely.join(texts.select(F.col("key").alias("k_a"), F.col("text").alias("text_a")), "k_a")
-        both = left.join(texts.select(F.col("key").alias("k_b"), F.col("text").alias("text_b")), "k_b")
-        out = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf, threshold), "a long, b long, similarity double"), name)
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("samples").alias(f"s_{c}"))
+        whole = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("s_a"), F.col("s_b")) >= LEAST_AGREE).select("a", "b"), f"{name}-likely")
+        both = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "text_a", "text_b")
+        out = stored(both.mapInArrow(lean(_verify(idf, threshold)), "a long, b long, similarity double"), name)
         unstore(likely)
-        unstore(texts)
         return out
 
     tried = stored(within.unionByName(starred(large, 0)).distinct(), "candidates")
@@ -305,7 +309,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         mixed = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         rows = classed.join(mixed.select("bucket"), "bucket")
         label_of = rows.select(F.col("node").alias("_n"), F.col("label").alias("_l")).distinct()
-        pairs = starred(rows.select("bucket", "node"), seed).distinct()
+        pairs = starred(rows.select("bucket", "node"), CENTRES * seed)
+        for more in range(1, CENTRES):
+            pairs = pairs.unionByName(starred(rows.select("bucket", "node"), CENTRES * seed + more))
+        pairs = pairs.distinct()
         pairs = pairs.join(label_of.select(F.col("_n").alias("a"), F.col("_l").alias("la")), "a").join(label_of.select(F.col("_n").alias("b"), F.col("_l").alias("lb")), "b").filter("la <> lb").select("a", "b")
         fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if fresh.isEmpty():
@@ -324,27 +331,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.unionByName(docs.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of the nodes in pairs: one text of each. Only texts that a fixed-size filter lets pass are moved."""
-    keys = pairs.select(F.col("k_a.key_a").alias("k")).union(pairs.select(F.col("k_b.key_a")))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(keys.distinct(), "k"))
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key_a, key_b, text): one text of each key, compressed. Only texts that a filter of fixed size lets pass are moved."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, "key_a"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, press = bits.value, zstandard.ZstdCompressor(3)
         for part in slices(batches, "text"):
             _, _, _, own = _features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(own[:, j].view(np.int64)) for j in (0, 1)), part.column("text")], ["key_a", "key_b", "text"])
-
-    filtered = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(pick, "key_a long, key_b long, text string")
-
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        for batch in batches:
-            at = batch.column("h").to_numpy()
-            yield batch.filter(pa.array(table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
-
-    hashed = filtered.withColumn("h", F.pmod(F.xxhash64("key_a"), F.lit(FILTER_BITS)))
-    close = hashed.mapInArrow(passes, hashed.schema).select(F.struct("key_a", "key_b").alias("key"), "text")
-    return stored(close.groupBy("key").agg(F.first("text").alias("text")), "texts")
+            at = (own[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            rows = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(rows):
+                texts = part.column("text").take(pa.array(rows)).to_pylist()
+                yield pa.RecordBatch.from_arrays([*(pa.array(own[rows, j].view(np.int64)) for j in (0, 1)), pa.array([press.compress(t.encode()) for t in texts], pa.binary())], ["key_a", "key_b", "text"])
+
+    close = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(lean(pick), "key_a long, key_b long, text binary")
+    return close.join(keys, ["key_a", "key_b"], "left_semi").groupBy("key_a", "key_b").agg(F.first("text").alias("text"))
 
 
 def op5_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
