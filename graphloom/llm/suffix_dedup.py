@@ -7,7 +7,7 @@ bytes, matches stay within a document, and all strings are judged on the input.
    take no further part. A fixed-size filter of repeated text hashes keeps the other texts where they are.
 2. Every string of WINDOW bytes holds one anchor: the place whose GRAM bytes have the least hash. Equal strings have
    equal anchors, so only suffixes at anchors matter, a fourteenth of all. Tasks send the distinct hashes of their
-   anchors; those in two documents set a bit of a fixed-size filter (false positives only cost work).
+   anchors; those in two documents enter a Bloom filter of fixed size (false positives only cost work).
 3. Around each anchor that passes, a task cuts the strings that have it as anchor, as one context. Equal contexts of a
    task are resolved there: all but the least id's are covered. What is left is range-partitioned by the suffix at the
    anchor, between splitters sampled from the anchors' leading GRAM bytes, so that no string crosses a boundary.
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import key_hash, marked, mix, powers, prefix_hash, row_filter, slices, small_batches, stored, utf8
+from ._common import key_hash, lean, marked, mix, powers, prefix_hash, row_filter, slices, small_batches, stored, trim, utf8
 
 WINDOW = 50
 GRAM = 24
@@ -44,7 +44,9 @@ ANCHOR_BITS = 1 << 27
 LAST = (1 << 63) - 1
 #: Splitters are taken from about so many sampled anchors.
 SAMPLED = 65_536
-HELD = 2_000_000
+HELD = 600_000
+#: Strings that are sorted at once.
+STRINGS = 300_000
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -185,6 +187,36 @@ class Contexts:
         return np.concatenate([_words(suffix), _words(before), last[:, None]], axis=1)
 
 
+def _compare_strings(found: Contexts, first: np.ndarray, context: np.ndarray, least: np.ndarray, several: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Spans of the strings of some contexts that also stand in another context of an earlier document."""
+    counts = found.counts[first[several]].astype(np.int64)
+    owner = np.repeat(np.arange(len(several)), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    text = found.text[first[several]]
+    covered = np.zeros(len(owner), bool)
+    matrix = np.zeros((len(owner), 56), np.uint8)
+    matrix[:, :WINDOW] = text[owner[:, None], place[:, None] + np.arange(WINDOW)[None, :]]
+    strings = _words(matrix)
+    by = multikey_sort(strings)
+    runs = np.flatnonzero(_new_rows(strings[by]))
+    own = least[several][owner]
+    lowest = np.repeat(np.minimum.reduceat(own[by], runs), np.diff(np.append(runs, len(by))))
+    covered[by] = lowest < own[by]
+    # Runs of covered strings within a context, for its occurrences in the least document.
+    start = covered & ~np.concatenate([[False], covered[:-1] & (owner[1:] == owner[:-1])])
+    end = covered & ~np.concatenate([covered[1:] & (owner[1:] == owner[:-1]), [False]])
+    run_owner, a, b = owner[start], place[start], place[end] + WINDOW
+    which = np.full(len(first), -1)
+    which[several] = np.arange(len(several))
+    slot = which[context[rest]]
+    rest, slot = rest[slot >= 0], slot[slot >= 0]
+    low, high = np.searchsorted(run_owner, slot), np.searchsorted(run_owner, slot, side="right")
+    n = high - low
+    rows = np.repeat(rest, n)
+    run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return [found.ids[rows], found.keys[rows], found.places[rows] + a[run], found.places[rows] + b[run]]
+
+
 def resolve(found: Contexts) -> list[np.ndarray]:
     """Covered spans as (ids, keys, starts, ends), by sorting all suffixes of a bucket."""
     if not len(found):
@@ -202,81 +234,67 @@ def resolve(found: Contexts) -> list[np.ndarray]:
     # Anchors with several contexts: compare their strings.
     grams = _new_rows(words[first, :3])
     gram = np.cumsum(grams) - 1
-    several = np.flatnonzero(np.bincount(gram)[gram] > 1)
-    if len(several):
-        counts = found.counts[first[several]].astype(np.int64)
-        owner = np.repeat(np.arange(len(several)), counts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        text = found.text[first[several]]
-        covered = np.zeros(len(owner), bool)
-        matrix = np.zeros((len(owner), 56), np.uint8)
-        matrix[:, :WINDOW] = text[owner[:, None], place[:, None] + np.arange(WINDOW)[None, :]]
-        strings = _words(matrix)
-        by = multikey_sort(strings)
-        runs = np.flatnonzero(_new_rows(strings[by]))
-        own = least[several][owner]
-        lowest = np.repeat(np.minimum.reduceat(own[by], runs), np.diff(np.append(runs, len(by))))
-        covered[by] = lowest < own[by]
-        # Runs of covered strings within a context, for its occurrences in the least document.
-        start = covered & ~np.concatenate([[False], covered[:-1] & (owner[1:] == owner[:-1])])
-        end = covered & ~np.concatenate([covered[1:] & (owner[1:] == owner[:-1]), [False]])
-        run_owner, a, b = owner[start], place[start], place[end] + WINDOW
-        rest = np.flatnonzero(~whole)
-        which = np.full(len(first), -1)
-        which[several] = np.arange(len(several))
-        slot = which[context[rest]]
-        rest, slot = rest[slot >= 0], slot[slot >= 0]
-        low, high = np.searchsorted(run_owner, slot), np.searchsorted(run_owner, slot, side="right")
-        n = high - low
-        rows = np.repeat(rest, n)
-        run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        out.append([found.ids[rows], found.keys[rows], found.places[rows] + a[run], found.places[rows] + b[run]])
+    every = np.flatnonzero(np.bincount(gram)[gram] > 1)
+    # In parts of whole anchors, to bound memory.
+    ends = np.cumsum(found.counts[first[every]].astype(np.int64)) // STRINGS
+    last = np.ones(len(every), bool)
+    last[:-1] = gram[every][1:] != gram[every][:-1]
+    part = np.zeros(len(every), np.int64)
+    if len(every):
+        part = ends[np.flatnonzero(last)][np.cumsum(np.concatenate([[False], last[:-1]]))]
+    rest = np.flatnonzero(~whole)
+    for several in np.split(every, np.flatnonzero(np.diff(part)) + 1) if len(every) else ():
+        out.append(_compare_strings(found, first, context, least, several, rest))
     return [np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(4)]
 
 
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of 48-bit hashes in a filter of bits bits (a power of two)."""
+    mask, other = np.uint64(bits - 1), mix(h)
+    return [(x & mask).astype(np.int64) for x in (h, other, other >> np.uint64(32))]
+
+
 def _send_anchors(bucket_bits: int, modulus: int):
     """Distinct anchor hashes (48 bits) of a task by their top bits, and whether two of its documents have them."""
     kinds = [("bucket", pa.int32()), ("hashes", pa.binary()), ("samples", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
-        held, size, doc = [], 0, 0
+        held, size, doc, sampled = [], 0, 0, {}
 
         def send() -> Iterator[pa.RecordBatch]:
-            h, d, lead = (np.concatenate([x[i] for x in held]) for i in range(3))
+            h, d = (np.concatenate([x[i] for x in held]) for i in range(2))
             order = np.lexsort((d, h))
-            h, d, lead = h[order], d[order], lead[order]
+            h, d = h[order], d[order]
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(h)) - 1
             names = h[first] << np.uint64(1) | (d[first] != d[last]).astype(np.uint64)
-            lead = lead[first]
             cuts = np.searchsorted(names, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(49 - bucket_bits))
             rows = []
-            for b, (own, text) in enumerate(zip(np.split(names, cuts), np.split(lead, cuts), strict=True)):
+            for b, own in enumerate(np.split(names, cuts)):
                 if len(own):
                     steps = np.diff(own, prepend=np.uint64(0))
                     steps = steps.astype("<u4") if len(own) > 1 and steps[1:].max() < 1 << 32 and own[0] < 1 << 32 else steps.astype("<u8")
-                    chosen = (own >> np.uint64(1)) % np.uint64(modulus) == 0
-                    rows.append((b, steps.dtype.char.encode() + press.compress(steps.tobytes()), (own[chosen] >> np.uint64(1)).astype("<u8").tobytes() + text[chosen].tobytes()))
+                    chosen = [x for x in (own[(own >> np.uint64(1)) % np.uint64(modulus) == 0] >> np.uint64(1)).tolist()]
+                    rows.append((b, steps.dtype.char.encode() + press.compress(steps.tobytes()), np.array(chosen, "<u8").tobytes() + b"".join(sampled[x] for x in chosen)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
         for part in slices(batches, "text"):
             for data, offsets, rows, _ in pieces(*utf8(part.column("text"))):
                 at, grams, _ = anchors(data, offsets)
                 own = doc + rows[np.searchsorted(offsets, at, side="right") - 1]
-                lead = np.zeros(len(at), f"S{GRAM}")
                 h = grams[at] >> np.uint64(16)
                 chosen = np.flatnonzero(h % np.uint64(modulus) == 0)
-                lead[chosen] = np.ascontiguousarray(data[at[chosen][:, None] + np.arange(GRAM)[None, :]]).view(f"S{GRAM}")[:, 0]
+                sampled.update((x, data[i : i + GRAM].tobytes()) for x, i in zip(h[chosen].tolist(), at[chosen].tolist(), strict=True))
                 if len(at):
-                    held.append((h, own, lead))
+                    held.append((h, own.astype(np.int32)))
                     size += len(at)
             doc += part.num_rows
             if size > HELD:
                 yield from send()
-                held, size = [], 0
+                held, size, sampled = [], 0, {}
         if size:
             yield from send()
 
@@ -299,7 +317,8 @@ def _repeated(bucket_bits: int):
         many[1:] |= h[1:] == h[:-1]
         h = np.unique(h[many])
         bitmap = np.zeros(bits, bool)
-        bitmap[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+        for place in _places(h, bits):
+            bitmap[place] = True
         kept = b"".join(sampled[x] for x in sorted(set(sampled) & set(h[np.isin(h, np.fromiter(sampled, np.uint64, len(sampled)))].tolist())))
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(bitmap, bitorder="little").tobytes(), 1)], pa.binary()), "samples": pa.array([kept], pa.binary())})
 
@@ -335,7 +354,7 @@ def _send_contexts(bits, splitters, bucket_bits: int, buckets: int):
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(own):
                     rows.append((int(bucket[own[0]]), found.take(own).to_bytes(press), None))
-            deal = np.abs(spans[1]) % buckets
+            deal = spans[0] % buckets
             order = np.argsort(deal, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(deal[order])) + 1):
                 if len(own):
@@ -347,8 +366,12 @@ def _send_contexts(bits, splitters, bucket_bits: int, buckets: int):
             for data, offsets, rows, bases in pieces(*utf8(part.column("text"))):
                 at, grams, least = anchors(data, offsets)
                 h = grams[at] >> np.uint64(16)
-                index = (h >> np.uint64(48 - bucket_bits)) * np.uint64(per_bucket) + (h & np.uint64(per_bucket - 1))
-                at = at[passes[(index >> np.uint64(3)).astype(np.int64)] >> (index & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                first = (h >> np.uint64(48 - bucket_bits)).astype(np.int64) * per_bucket
+                passed = np.ones(len(at), bool)
+                for place in _places(h, per_bucket):
+                    bit = first + place
+                    passed &= passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+                at = at[passed]
                 if not len(at):
                     continue
                 # The strings whose anchor this is: a run of starts up to the anchor; from equal hashes the first counts.
@@ -399,6 +422,8 @@ def _resolve_bucket(table):
     spans = [np.frombuffer(zstandard.decompress(x), "<i8").reshape(4, -1) for x in table.column("spans").to_pylist() if x is not None]
     parts = ([resolve(Contexts.concat(contexts))] if contexts else []) + [list(x) for x in spans]
     merged = merge_spans(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
+    del contexts, spans, parts
+    trim()
     return pa.table([pa.array(x, pa.int64()) for x in merged], ["d", "rk", "start", "end"])
 
 
@@ -418,12 +443,22 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join(out), n_removed, n_runs
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts that are moved."""
+    press = zstandard.ZstdCompressor(3)
     for part in slices(batches, "text"):
-        rest = [part.schema.names.index(c) for c in part.schema.names if c not in ("text", "spans", "copy", "kept")]
+        packed = pa.array([press.compress((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())
+        new = {"packed": packed, "text": pa.nulls(part.num_rows, pa.string())}
+        yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpress = zstandard.ZstdDecompressor()
+    for part in (x for y in slices(batches, "text") for x in slices(iter([y]), "packed")):
+        rest = [part.schema.names.index(c) for c in part.schema.names if c not in ("text", "packed", "spans", "copy")]
         rows = []
-        for text, spans, copy in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "copy")), strict=True):
-            data = (text or "").encode()
+        for text, packed, spans, copy in zip(*(part.column(c).to_pylist() for c in ("text", "packed", "spans", "copy")), strict=True):
+            data = (text or "").encode() if packed is None else unpress.decompress(packed)
             if copy and len(data) >= WINDOW:
                 spans = [{"start": 0, "end": len(data)}]
             kept, n_removed, n_spans = kept_bytes(data, [(s["start"], s["end"]) for s in spans or ()])
@@ -441,6 +476,9 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
     half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c_{c}") for c in carry], F.coalesce("text", F.lit("")).alias("text")).withColumns({"d": F.coalesce("doc_id", F.lit(LAST)), "rk": F.xxhash64("doc_id", "text"), "ka": half(1), "kb": half(17)})
     own = [f"c_{c}" for c in carry]
+    # A row is told by its id; only rows of repeated ids need a key of their own (zeros cost nothing to move).
+    twice = rows.groupBy("d").agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = marked(rows, key_hash("d"), row_filter(twice, key_hash("d")), "_twice").withColumn("rk", F.when(F.col("_twice"), F.col("rk")).otherwise(0)).drop("_twice")
     first = rows.groupBy("ka", "kb").agg(F.min("d").alias("_first"), F.count("*").alias("_n"), F.first(F.octet_length("text")).alias("_bytes"))
     first = stored(first, "texts-once")
     total = first.agg(F.sum("_bytes")).first()[0] or 0
@@ -455,7 +493,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
     estimate = int(total * 2 / (SPAN + 1))
     bucket_bits = min(16, max(8, (estimate >> 22).bit_length()))
     modulus = max(16, estimate // SAMPLED)
-    sent = sources.select("text").mapInArrow(_send_anchors(bucket_bits, modulus), "bucket int, hashes binary, samples binary")
+    sent = sources.select("text").mapInArrow(lean(_send_anchors(bucket_bits, modulus)), "bucket int, hashes binary, samples binary")
     told = sent.groupBy("bucket").applyInArrow(_repeated(bucket_bits), "bucket int, bits binary, samples binary").collect()  # ANCHOR_BITS bits and about SAMPLED samples
     passes = np.zeros(ANCHOR_BITS // 8, np.uint8)
     width = ANCHOR_BITS >> bucket_bits + 3
@@ -464,19 +502,20 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
         passes[bucket * width : (bucket + 1) * width] = np.frombuffer(zstandard.decompress(bytes(bits)), np.uint8)
         samples += [bytes(leads[i : i + GRAM]) for i in range(0, len(leads), GRAM)]
     samples.sort()
-    buckets = max(1, 4 * tasks)
+    buckets = max(1, 8 * tasks)
     cuts = sorted({samples[i * len(samples) // buckets] for i in range(1, buckets)}) if samples else []
     shared, splitters = spark.sparkContext.broadcast(passes), spark.sparkContext.broadcast(cuts)
-    contexts = sources.select("d", "rk", "text").mapInArrow(_send_contexts(shared, splitters, bucket_bits, buckets), "bucket int, contexts binary, spans binary")
+    contexts = sources.select("d", "rk", "text").mapInArrow(lean(_send_contexts(shared, splitters, bucket_bits, buckets)), "bucket int, contexts binary, spans binary")
     spans = contexts.groupBy("bucket").applyInArrow(_resolve_bucket, "d long, rk long, start long, end long")
     spans = stored(spans, "spans")
 
     listed = spans.groupBy("d", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    at = lambda df: marked(df, key_hash("rk"), row_filter(spans, key_hash("rk")), "_hit")
+    at = lambda df: marked(df, key_hash("d"), row_filter(spans, key_hash("d")), "_hit")
     everyone = at(single.unionByName(moved))
-    hit = everyone.filter("_hit").drop("_hit").join(listed, ["d", "rk"], "left")
-    clean = everyone.filter(~F.col("_hit")).drop("_hit").withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
-    done = hit.unionByName(clean).select("doc_id", *own, "text", "spans", "copy")
+    found = everyone.filter("_hit").drop("_hit").withColumn("packed", F.lit(b""))
+    hit = found.mapInArrow(lean(_press), found.schema).join(listed, ["d", "rk"], "left")
+    clean = everyone.filter(~F.col("_hit")).drop("_hit").withColumns({"packed": F.lit(None).cast("binary"), "spans": F.lit(None).cast(listed.schema["spans"].dataType)})
+    done = hit.unionByName(clean).select("doc_id", *own, "text", "packed", "spans", "copy")
     kinds = {f.name: f.dataType for f in done.schema.fields}
     from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
@@ -486,7 +525,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
     for c in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(c, LongType())
     schema = schema.add("kept_sha256", StringType()).add("kept", BinaryType())
-    out = done.mapInArrow(_finish, schema)
+    out = done.mapInArrow(lean(_finish), schema)
     return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept)
 
 
