@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

@@ -32,8 +32,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, stored, unstore, utf8, word_spans
-from .components import components
+from ._common import lean, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, unstore, utf8, word_spans
+from ._common import stored as _stored
+from .components import components, joined
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Hashes and packed texts hardly compress; this codec needs no memory outside the executor's heap."""
+    return _stored(df, name, "lz4_raw")
+
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -321,8 +328,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if more.isEmpty():
             break
         tried = stored(tried.union(fresh), "candidates")
-        links = stored(links.union(more), "links")
-        labels = components(links)
+        labels = joined(labels, more)
     classed = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key_a", "key_b", "least", F.coalesce("label", "node").alias("label"))
     classed = stored(classed, "classes")
     least = classed.groupBy("label").agg(F.min("least").alias("class_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat_format, fingerprints, html_extract, language_id, mixing, near_dedup, packing, suffix_dedup, token_files, tokens, topk_search
-from graphloom.llm.components import components
+from graphloom.llm.components import components, joined
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, d int, _part int"
 
@@ -178,6 +178,15 @@ def test_components(spark):
     assert {r["node"]: r["label"] for r in components(links).collect()} == {i: 1 for i in range(1, 21)} | {50: 50, 60: 50, 70: 50}
 
 
+def test_components_after_more_links(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randint(1, 300), rng.randint(1, 300)) for _ in range(220)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = {r["node"]: r["label"] for r in components(table(pairs)).collect()}
+    assert {r["node"]: r["label"] for r in joined(components(table(pairs[:120])), table(pairs[120:])).collect()} == whole
+
+
 def test_packing_is_near_optimal():
     rng = random.Random(6)
 
