@@ -12,8 +12,10 @@ RARE are all rare alike). A near copy keeps its likeness even where a passage is
    (the first and last by hash), the same in every band where it can be. Pairs whose samples agree too rarely for 0.8
    are dropped; the rest are verified by their exact weighted Jaccard similarity, from whole texts (a pair whose plain
    shingle sets reach the threshold is a link too, so that weights never hide a copy).
-4. Components of the verified links are classes. Nodes in one bucket that are still in different classes are paired
-   with new centres in turn, until a round finds no link; so no cap on a bucket hides a class.
+4. Components of the verified links are classes. A larger bucket whose nodes are still in different classes is cut into
+   tiles, ordered by class, and every tile meets every other and itself: the exact similarity of all their pairs comes
+   from matrix products. Only two tiles of one and the same class are left out. So no cap on a bucket hides a class;
+   the work there grows with the square of the nodes outside its largest class.
 
 Null text: no features, a class of its own. Empty texts and texts without words: equal, so one class. Repeated rows and
 exact copies: one class. Ties: the least id names a class. Null id: allowed, never names a class unless alone.
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import lean, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, unstore, utf8, word_spans
@@ -47,8 +49,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 SMALL = 8
-#: Pairs of centres that a later round tries in a bucket.
-CENTRES = 4
+#: Nodes, and bytes of compressed texts, of a tile of a larger bucket.
+TILE_NODES, TILE_BYTES = 1024, 1 << 20
+#: Similarities from float32 sums that are this near the threshold are worked out anew.
+MARGIN = 1e-3
 SKETCH_BITS = 18
 SKETCH_ROWS = 2
 RARE = 100.0
@@ -254,6 +258,148 @@ def _verify(idf, threshold: float):
     return run
 
 
+def overlaps(row_a: np.ndarray, key_a: np.ndarray, row_b: np.ndarray, key_b: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """For rows i of a and j of b, the summed weight of the keys they share; weight belongs to the entries of a."""
+    out = np.zeros(shape, np.float32)
+    keys, at_a = np.unique(key_a, return_inverse=True)
+    place = np.minimum(np.searchsorted(keys, key_b), max(len(keys) - 1, 0))
+    known = keys[place] == key_b if len(keys) else np.zeros(len(key_b), bool)
+    row_b, at_b = row_b[known], place[known]
+    n_a, n_b = np.bincount(at_a, minlength=len(keys)), np.bincount(at_b, minlength=len(keys))
+    each = np.zeros(len(keys), np.float32)
+    each[at_a] = weight
+    common = n_a * n_b * 200 > shape[0] * shape[1]  # a dense column is cheaper than a list of its pairs
+    number = np.cumsum(common) - 1
+    dense_a, dense_b = np.flatnonzero(common[at_a]), np.flatnonzero(common[at_b])
+    for low in range(0, int(common.sum()), 2048):
+        sides = []
+        for rows, at, own, n in ((row_a, at_a, dense_a, shape[0]), (row_b, at_b, dense_b, shape[1])):
+            column = number[at[own]] - low
+            here = (column >= 0) & (column < 2048)
+            block = np.zeros((n, 2048), np.float32)
+            block[rows[own[here]], column[here]] = np.sqrt(each[at[own[here]]])
+            sides.append(block)
+        out += sides[0] @ sides[1].T
+    # The rest: all pairs of each key, in parts.
+    order = np.argsort(at_b, kind="stable")
+    first = np.cumsum(n_b) - n_b
+    rare = np.flatnonzero(~common[at_a] & (n_b[at_a] > 0))
+    ends = np.cumsum(n_b[at_a[rare]])
+    cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), len(rare)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        own = rare[low:high]
+        times = n_b[at_a[own]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        other = row_b[order[np.repeat(first[at_a[own]], times) + step]]
+        np.add.at(out.reshape(-1), np.repeat(row_a[own], times) * shape[1] + other, np.repeat(each[at_a[own]], times))
+    return out
+
+
+class _Tile:
+    """Nodes of a bucket with their classes and the features of their texts."""
+
+    def __init__(self, nodes: np.ndarray, labels: np.ndarray, texts: list[bytes], idf: np.ndarray):
+        self.nodes, self.labels = nodes, labels
+        unpress = zstandard.ZstdDecompressor()
+        column = pa.array([unpress.decompress(x).decode() for x in texts], pa.string())
+        found = [_features(part.column("text"))[:3] for part in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
+        self.runs, self.counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        self.w = weights(self.runs, self.counts, idf)
+        sizes = np.concatenate([np.diff(f[2]) for f in found])
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.row = np.repeat(np.arange(len(nodes)), sizes)
+        self.total = np.bincount(self.row, self.w, len(nodes))
+        self.distinct = sizes
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-th occurrence of each shingle as a key of its own, so that the weight of common keys is the sum of least
+        weights: row, key and weight of each."""
+        nth = np.arange(self.counts.sum()) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        key = mix(np.repeat(self.runs, self.counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.repeat(self.row, self.counts), key, np.repeat(self.w / self.counts, self.counts).astype(np.float32)
+
+    def features(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.runs[self.at[i] : self.at[i + 1]], self.w[self.at[i] : self.at[i + 1]]
+
+
+def _similar(x: _Tile, y: _Tile, threshold: float) -> np.ndarray:
+    """Which pairs of x and y, of different classes, reach the threshold by ``similarity``."""
+    shape = (len(x.nodes), len(y.nodes))
+    near = np.zeros(shape, np.float32)
+    row_x, key_x, each = x.repeats()
+    row_y, key_y, _ = y.repeats()
+    one = np.ones(len(x.runs), np.float32)
+    for least, a, b in (
+        (overlaps(row_x, key_x, row_y, key_y, each, shape), x.total, y.total),
+        (overlaps(x.row, x.runs, y.row, y.runs, one, shape), x.distinct, y.distinct),
+    ):
+        most = a[:, None].astype(np.float32) + b[None, :].astype(np.float32) - least
+        np.maximum(near, least / np.maximum(most, np.float32(1e-9)), out=near)
+    apart = x.labels[:, None] != y.labels[None, :]
+    found = apart & (near >= threshold + MARGIN)
+    for i, j in np.argwhere(apart & ~found & (near >= threshold - MARGIN)).tolist():
+        found[i, j] = similarity(*x.features(i), *y.features(j)) >= threshold
+    return found
+
+
+def _forest(found: np.ndarray, x: _Tile, y: _Tile) -> list[tuple[int, int]]:
+    """Fewest pairs that join what all found pairs join."""
+    _, label = np.unique(np.concatenate([x.labels, y.labels]), return_inverse=True)
+    links = []
+    for i in np.flatnonzero(found.any(axis=1)).tolist():
+        other = np.flatnonzero(found[i])
+        names, first = np.unique(label[len(x.nodes) + other], return_index=True)
+        for name, j in zip(names.tolist(), other[first].tolist(), strict=True):
+            if name != label[i]:
+                links.append((int(x.nodes[i]), int(y.nodes[j])))
+                label[label == name] = label[i]
+    return links
+
+
+_TILE = "bucket long, tile long, lo long, hi long, nodes array<long>, labels array<long>, texts array<binary>"
+
+
+def _pack_tile(table: pa.Table) -> pa.Table:
+    labels = table.column("label")
+    ends = pc.min_max(labels)
+    whole = [[table.column(c).to_pylist()] for c in ("node", "label", "text")]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    head = [pa.array([v.as_py()], pa.int64()) for v in (table.column("bucket")[0], table.column("tile")[0], ends["min"], ends["max"])]
+    return pa.table([*head, *(pa.array(v, t) for v, t in zip(whole, kinds, strict=True))], ["bucket", "tile", "lo", "hi", "nodes", "labels", "texts"])
+
+
+def _meet(idf, threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        sides = {}
+        for r in table.to_pylist():
+            sides[r["tile"]] = _Tile(np.array(r["nodes"], np.int64), np.array(r["labels"], np.int64), r["texts"], idf.value)
+        x, y = sides[min(sides)], sides[max(sides)]
+        links = _forest(_similar(x, y, threshold), x, y)
+        return pa.table([pa.array([v[i] for v in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _crossing(large: DataFrame, labels: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) that join all classes with a pair that shares a bucket of large and reaches the threshold."""
+    classed = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"_h{i}") for i in (0, 1)]
+    mixed = classed.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_n"), *sums).filter("_lo <> _hi")
+    mixed = mixed.groupBy("_n", "_h0", "_h1").agg(F.min("bucket").alias("bucket"))  # of buckets with the same nodes, one
+    rows = classed.join(mixed.select("bucket"), "bucket")
+    sizes = texts.select(F.col("node").alias("_n"), F.length("text").alias("bytes"))
+    share = F.greatest(F.lit(1 / TILE_NODES), F.col("bytes") / TILE_BYTES)
+    before = F.sum(share).over(Window.partitionBy("bucket").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)) - share
+    placed = rows.join(sizes, F.col("node") == F.col("_n")).withColumn("tile", F.floor(before + 1e-9)).select("bucket", "tile", "node", "label")
+    with_text = placed.join(texts.select(F.col("node").alias("_n"), "text"), F.col("node") == F.col("_n")).select("bucket", "tile", "node", "label", "text")
+    tiles = stored(with_text.groupBy("bucket", "tile").applyInArrow(_pack_tile, _TILE), "tiles")
+    head = lambda t: tiles.select("bucket", F.col("tile").alias(t), F.col("lo").alias(f"lo_{t}"), F.col("hi").alias(f"hi_{t}"))
+    met = head("x").join(head("y"), "bucket").filter("x <= y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("bucket", "x", "y")
+    met = stored(met, "tile-pairs")
+    sides = met.withColumn("tile", F.explode(F.array_distinct(F.array("x", "y"))))
+    return stored(sides.join(tiles.drop("lo", "hi"), ["bucket", "tile"]).groupBy("bucket", "x", "y").applyInArrow(_meet(idf, threshold), "a long, b long"), "links")
+
+
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A filter of FILTER_BITS bits with those of the keys set: a fixed size for the driver."""
     at = keys.select((F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1).alias("h"))
@@ -307,28 +453,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         unstore(likely)
         return out
 
-    tried = stored(within.unionByName(starred(large, 0)).distinct(), "candidates")
-    links = verified(tried, "links-0")
+    links = verified(stored(within.unionByName(starred(large, 0)).distinct(), "candidates"), "links")
     labels = components(links)
-    for seed in range(1, 1 << 20):
-        # Nodes of large buckets that aren't all of one class meet other centres, until that links nothing more.
-        classed = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rows = classed.join(mixed.select("bucket"), "bucket")
-        label_of = rows.select(F.col("node").alias("_n"), F.col("label").alias("_l")).distinct()
-        pairs = starred(rows.select("bucket", "node"), CENTRES * seed)
-        for more in range(1, CENTRES):
-            pairs = pairs.unionByName(starred(rows.select("bucket", "node"), CENTRES * seed + more))
-        pairs = pairs.distinct()
-        pairs = pairs.join(label_of.select(F.col("_n").alias("a"), F.col("_l").alias("la")), "a").join(label_of.select(F.col("_n").alias("b"), F.col("_l").alias("lb")), "b").filter("la <> lb").select("a", "b")
-        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        if fresh.isEmpty():
-            break
-        more = verified(fresh, f"links-{seed}")
-        if more.isEmpty():
-            break
-        tried = stored(tried.union(fresh), "candidates")
-        labels = joined(labels, more)
+    labels = joined(labels, _crossing(large, labels, texts, idf, threshold))
     classed = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key_a", "key_b", "least", F.coalesce("label", "node").alias("label"))
     classed = stored(classed, "classes")
     least = classed.groupBy("label").agg(F.min("least").alias("class_id"))

@@ -160,6 +160,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(set(got.values())) >= 0.95 * len({find(d) for d in parent})
 
 
+def test_near_duplicates_inside_hot_buckets(spark):
+    """Two loose members of a template group that only share hot buckets, and are no one's centre, are still a class."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for group in range(6):
+        template = [f"t{group}-{i}" for i in range(160)]
+        tails = [10, 10] + [40] * 150
+        order = rng.sample(range(len(tails)), len(tails))
+        for i, n in enumerate(order):
+            rows.append((group * 1000 + i, " ".join(template + [f"u{rng.randint(0, 10**9)}" for _ in range(tails[n])]), "en", "s"))
+        pairs.append(sorted(group * 1000 + order.index(n) for n in (0, 1)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    for a, b in pairs:
+        assert got[b] == got[a] == a
+    assert len(set(got.values())) == len(rows) - len(pairs)
+
+
+def test_tile_similarities_are_exact():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(1, 60))) for _ in range(60)] + ["a b c d e " * 30, "a b c d e " * 3]
+    idf = near_dedup.idf_table(10, rng.integers(0, 10, (near_dedup.SKETCH_ROWS, 1 << near_dedup.SKETCH_BITS)))
+    packed = [near_dedup.zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
+    tile = near_dedup._Tile(np.arange(len(texts)), np.arange(len(texts)), packed, idf)
+    for threshold in (0.1, 0.3, 0.8):
+        found = near_dedup._similar(tile, tile, threshold)
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert found[i, j] == (i != j and near_dedup.similarity(*tile.features(i), *tile.features(j)) >= threshold)
+
+
 def test_sampler_agrees_as_often_as_similar():
     rng, sampler = np.random.default_rng(5), near_dedup.Sampler()
     agree, near = [], []
