@@ -8,7 +8,8 @@ have. The answer is a list of patterns (lengths and how many bins use them). Pie
 length, in parallel, and look up their place in the patterns.
 
 Null text: empty, one end id. Null id: kept as null. Repeated rows: packed each. Empty table: empty result. Extra
-columns don't matter. The search stops after ``most_nodes`` nodes; the incumbent is then the answer.
+columns don't matter. The search stops after ``most_nodes`` nodes (fillings used or found dominated); the incumbent is
+then the answer.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,11 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-MOST_NODES = 600
-#: Fillings that are compared at a node, and how often the rest is packed by best fit for a new incumbent.
-CHOICES = 64
+MOST_NODES = 20_000
+#: How often the rest is packed by best fit for a new incumbent.
 LOOK = 25
-#: Pieces tried at a node.
-STEPS = 500
+#: The end of the fillings of a node.
+END = object()
 
 #: Lengths of a bin, descending, and the number of bins filled so.
 Pattern = tuple[tuple[int, ...], int]
@@ -99,39 +98,85 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
     return sorted(out.items(), reverse=True)
 
 
-def fillings(hist: dict[int, int], room: int, least: int, most_steps: int = STEPS) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of pieces with a sum from least to room, large pieces first; it ends after most_steps tries."""
-    lengths = sorted((n for n in hist if n <= room), reverse=True)
-    steps = 0
-
-    def extend(at: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        nonlocal steps
-        fits = False
-        for i in range(bisect.bisect_left(lengths, -left, key=lambda n: -n, lo=at), len(lengths)):
-            n = lengths[i]
-            if chosen.count(n) < hist[n]:
-                fits = True
-                steps += 1
-                if steps > most_steps:
-                    return
-                yield from extend(i, left - n, (*chosen, n))
-        if not fits and room - left >= least and not dominated(chosen, left):
+class Sums:
+    """For ascending lengths and counts, bit sets of the sums that the lengths up to each reach. A later histogram only has
+    those worked out anew that lie above the first changed one, and none above the first that reach every sum."""
+
+    def __init__(self, capacity: int):
+        self.full = (1 << capacity + 1) - 1
+        self.capacity = capacity
+        self.known: list[tuple[int, int]] = []
+        self.reach: list[int] = []
+
+    def of(self, items: list[tuple[int, int]]) -> list[int]:
+        """reach[i]: the sums of the first i + 1 of items; the list ends with the first that has every sum."""
+        same = 0
+        while same < len(self.reach) and same < len(items) and self._as_good(self.known[same], items[same]):
+            same += 1
+        reach = self.reach[:same]
+        bits = reach[-1] if reach else 1
+        for n, c in items[same:]:
+            if bits == self.full:
+                break
+            # Steps of doubled numbers of pieces: 1, 2, 4 and the rest.
+            left, step = min(c, self.capacity // n), 1
+            while left:
+                now = min(step, left)
+                bits |= bits << now * n & self.full
+                left, step = left - now, step * 2
+            reach.append(bits)
+        self.known, self.reach = items[: len(reach)], reach
+        return reach
+
+    def _as_good(self, x: tuple[int, int], y: tuple[int, int]) -> bool:
+        most = self.capacity // x[0]
+        return x[0] == y[0] and min(x[1], most) == min(y[1], most)
+
+
+def fillings(hist: dict[int, int], room: int, least: int, sums: Sums | None = None) -> Iterator[tuple[int, ...] | None]:
+    """Sets of pieces with a sum from least to room that no other one dominates, the fullest first, then large pieces
+    first. Only pieces that lead to a sum are tried. None stands for a dominated set that was passed over."""
+    items = sorted((n, c) for n, c in hist.items() if n <= room)
+    lengths = [n for n, _ in items]
+    reach = (sums or Sums(room)).of(items)
+    held = sum(1 << n for n in lengths)
+
+    def reaches(i: int, total: int) -> bool:
+        """Whether the first i + 1 lengths have a set with this sum."""
+        return total == 0 or i >= 0 and bool(reach[min(i, len(reach) - 1)] >> total & 1)
+
+    def extend(top: int, total: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Sets with exactly this sum of lengths up to place top, after chosen."""
+        if not total:
             yield chosen
-
-    def dominated(chosen: tuple[int, ...], left: int) -> bool:
-        """Whether an unused piece could stand in for one or two chosen ones and fill the bin more."""
-        subsets = {(n,) for n in chosen} | {(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
-        for some in subsets:
-            total = sum(some)
-            at = bisect.bisect_left(lengths, -(total + left), key=lambda n: -n)
-            while at < len(lengths) and lengths[at] > total - (len(some) > 1):
-                n = lengths[at]
-                if hist[n] > chosen.count(n) and (n > total or len(some) > 1 and n >= total):
-                    return True
-                at += 1
+            return
+        for i in range(min(top, bisect.bisect_right(lengths, total) - 1), -1, -1):
+            if not reaches(i, total):
+                return
+            n, c = items[i]
+            for k in range(min(c, total // n), 0, -1):
+                if reaches(i - 1, total - k * n):
+                    yield from extend(i - 1, total - k * n, (*chosen, (n, k)))
+
+    def dominated(chosen: tuple[tuple[int, int], ...], gap: int) -> bool:
+        """Whether an unused piece fits too, or could stand in for one or two chosen ones and fill the bin more (or as
+        much, as one in place of two)."""
+        unused = held
+        for n, k in chosen:
+            if k == hist[n]:
+                unused &= ~(1 << n)
+        span = (1 << gap) - 1  # sums more by 1 to gap
+        if unused >> 1 & span or any(unused >> n + 1 & span for n, _ in chosen):
+            return True
+        for i, (n, k) in enumerate(chosen):
+            if k > 1 and unused >> 2 * n & (span << 1 | 1) or any(unused >> n + m & (span << 1 | 1) for m, _ in chosen[i + 1 :]):
+                return True
         return False
 
-    yield from extend(0, room, ())
+    for total in range(room, max(0, least) - 1, -1):
+        if reaches(len(items) - 1, total):
+            for chosen in extend(len(items) - 1, total, ()):
+                yield None if dominated(chosen, room - total) else tuple(n for n, k in chosen for _ in range(k))
 
 
 def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> list[Pattern]:
@@ -142,39 +187,53 @@ def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: i
     if min(hist) < 1 or max(hist) > capacity:
         raise ValueError("lengths must lie from 1 to the capacity")
     best = best_fit(hist, capacity)
+    bins = sum(c for _, c in best)
     bound = lower_bound(hist, capacity)
     total = sum(n * c for n, c in hist.items())
-    state = {"best": best, "bins": sum(c for _, c in best), "nodes": 0}
-
-    def search(left: dict[int, int], done: list[Pattern], bins: int, waste: int) -> None:
-        """Branch on the fillings around the largest piece, fullest first; waste is what the bins so far leave empty."""
-        if state["nodes"] % LOOK == 0 or len(left) < 2 * LOOK:
+    sums, nodes = Sums(capacity), 0
+    # The branch searched: pieces left, bins and waste so far, and what is still to try there. A stack, as it may be deep.
+    stack: list[tuple[dict[int, int], int, int, Iterator[tuple[int, ...] | None]]] = []
+    done: list[Pattern] = []
+
+    def enter(left: dict[int, int], used: int, waste: int) -> None:
+        """Take the best-fit packing of the rest if it is better; else branch on the fillings around the largest piece."""
+        nonlocal best, bins
+        if nodes % LOOK == 0 or len(left) < 2 * LOOK:
             rest = best_fit(left, capacity) if left else []
-            if bins + (found := sum(c for _, c in rest)) < state["bins"]:
-                state["best"], state["bins"] = [*done, *rest], bins + found
-        spare = (state["bins"] - 1) * capacity - total - waste
-        if not left or spare < 0 or state["bins"] == bound or state["nodes"] >= most_nodes:
-            return
-        largest = max(left)
-        others = {n: c - (n == largest) for n, c in left.items() if c > (n == largest)}
-        room = capacity - largest
-        choices = sorted(islice(fillings(others, room, max(0, room - spare)), CHOICES), key=lambda f: (room - sum(f), len(f)))
-        for filling in choices:
-            state["nodes"] += 1
-            pattern = (largest, *filling)
-            need, gap = Counter(pattern), capacity - sum(pattern)
-            times = min(left[n] // k for n, k in need.items())
-            if gap:
-                times = min(times, spare // gap)
-            if times:
-                after = {n: c for n in left if (c := left[n] - need[n] * times)}
-                search(after, [*done, (pattern, times)], bins + times, waste + gap * times)
-            if state["bins"] == bound or state["nodes"] >= most_nodes:
-                return
-
-    if state["bins"] > bound:
-        search(hist, [], 0, 0)
-    return state["best"]
+            if used + (found := sum(c for _, c in rest)) < bins:
+                best, bins = [*done, *rest], used + found
+        spare = (bins - 1) * capacity - total - waste
+        choices: Iterator[tuple[int, ...] | None] = iter(())
+        if left and spare >= 0:
+            largest = max(left)
+            others = {n: c - (n == largest) for n, c in left.items() if c > (n == largest)}
+            choices = fillings(others, capacity - largest, capacity - largest - spare, sums)
+        stack.append((left, used, waste, choices))
+
+    enter(hist, 0, 0)
+    while stack and bins > bound and nodes < most_nodes:
+        left, used, waste, choices = stack[-1]
+        filling = next(choices, END)
+        if filling is None:
+            nodes += 1
+            continue
+        spare = (bins - 1) * capacity - total - waste
+        # The fillings come fullest first, so that none after one with too much waste is better.
+        if filling is END or capacity - max(left) - sum(filling) > spare:
+            stack.pop()
+            if stack:
+                done.pop()
+            continue
+        nodes += 1
+        pattern = (max(left), *filling)
+        gap = capacity - sum(pattern)
+        need = Counter(pattern)
+        times = min(left[n] // k for n, k in need.items())
+        if gap:
+            times = min(times, spare // gap)
+        done.append((pattern, times))
+        enter({n: c for n in left if (c := left[n] - need[n] * times)}, used + times, waste + gap * times)
+    return best
 
 
 class Places:

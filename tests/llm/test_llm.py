@@ -247,6 +247,32 @@ def test_packing_is_near_optimal():
         assert sum(c for _, c in found) == least(items, capacity) >= packing.lower_bound(Counter(items), capacity)
 
 
+def test_fillings_fullest_first():
+    """Every undominated filling comes, the fullest first, however many small pieces it takes."""
+    assert next(packing.fillings({1: 3000}, 2000, 1990)) == (1,) * 2000
+    rng = random.Random(9)
+    for _ in range(100):
+        hist = {rng.randint(1, 12): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        room, least = 20, rng.randint(0, 20)
+        every = {()}
+        for n, c in hist.items():
+            every = {(*f, *(n,) * k) for f in every for k in range(c + 1) if sum(f) + n * k <= room}
+        found = list(packing.fillings(hist, room, least))
+        assert len(found) == len([f for f in every if sum(f) >= least])
+        kept = [f for f in found if f is not None]
+        assert [sum(f) for f in kept] == sorted((sum(f) for f in kept), reverse=True)
+        if found:
+            assert found[0] is not None and sum(found[0]) == max(sum(f) for f in every)
+
+
+def test_packing_of_many_lengths_reaches_the_bound():
+    rng = random.Random(5)
+    hist = Counter(rng.randint(200, 2200) for _ in range(6000))
+    found = packing.pack_histogram(hist)
+    assert Counter({n: sum(p.count(n) * c for p, c in found) for n in hist}) == hist and all(sum(p) <= 4096 for p, _ in found)
+    assert sum(c for _, c in found) == packing.lower_bound(hist, 4096)
+
+
 def test_packed_pieces(spark):
     import public_tokenizers as P
 
