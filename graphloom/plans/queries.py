@@ -561,6 +561,12 @@ def source_excerpt(spark, sf_dir):
     return source.excerpt(b.files(spark, sf_dir).filter("doc_id % 10 = 0"), F.lit(0), F.lit(300))
 
 
+@query(f"with {b.FILES_SQL}, l as (select path, n_chars, string_split(substr(content, 1, 12288), chr(10)) x from fi) select path, array_to_string(list_transform(x[1:200], lambda y, i: concat(i, ': ', y)), chr(10)) excerpt, len(x) > 200 or n_chars > 12288 truncated from l")
+def source_excerpt_all(spark, sf_dir):
+    """source_excerpt of every file, from its start to its end, within the default limits."""
+    return source.excerpt(b.files(spark, sf_dir), F.lit(0), F.col("n_chars"))
+
+
 @query("select event_id, json_extract_string(props, '$.k')::int k from events")
 def json_props(spark, sf_dir):
     return b.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -622,6 +628,16 @@ def hash_point_lookup(spark, sf_dir):
     return source.hash_lookup(rows, wanted)
 
 
+@query(f"with {b.VERSIONS_SQL}, w as (select distinct concat('d', doc_id, '.ts') path from documents) select w.path, hash from w left join v2 on v2.path = w.path")
+def hash_point_lookup_all(spark, sf_dir):
+    """hash_point_lookup of every document's path."""
+    v1, v2 = b.versions(spark, sf_dir)
+    gone = v1.join(v2, "path", "left_anti").select("path", "hash", F.lit(2).alias("seq"), F.lit(True).alias("deleted"))
+    rows = v1.select("path", "hash", F.lit(0).alias("seq"), F.lit(False).alias("deleted")).union(v2.select("path", "hash", F.lit(1), F.lit(False))).union(gone)
+    wanted = b.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".ts")).alias("path")).distinct()
+    return source.hash_lookup(rows, wanted)
+
+
 @query(f"with {b.VERSIONS_SQL} select path from v1 intersect select path from v2 where path like '%7.ts'")
 def dirty_intersect(spark, sf_dir):
     v1, v2 = b.versions(spark, sf_dir)

@@ -36,5 +36,15 @@ def test_oracle(spark, db, name):
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_whole_excerpts_and_lookups(spark, db):
+    """Every file has its excerpt, some of them truncated; every path is looked up, deleted ones too."""
+    n = db.sql("select count(*) from documents").fetchall()[0][0]
+    found = __spark_entry__.queries()["source_excerpt_all"](spark, DATA)
+    assert found.count() == n
+    assert 0 < found.filter("truncated").count() < n
+    hashes = __spark_entry__.queries()["hash_point_lookup_all"](spark, DATA)
+    assert hashes.count() == n and hashes.filter("hash is null").count() > 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
