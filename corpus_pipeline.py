@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._common import key_hash, marked, row_filter, stored
-from graphloom.llm.language_id import predict, train
+from graphloom.llm.language_id import has_letter, predict, train
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.packing import pack, pieces_of
@@ -23,8 +23,11 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without text or letters go."""
-    return predict(docs, train(docs)).filter(F.col("lang_pred") != "und").select(docs.columns)
+    """Documents in which a language can be told; those without text or letters go, and no others where no label trains."""
+    model = train(docs)
+    if model is None:
+        return docs.filter(has_letter(F.col("text")))
+    return predict(docs, model).filter(F.col("lang_pred") != "und").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ._common import slices, small_batches, utf8
 
 ORDER = 3
-#: Documents that train each language: those with the smallest hash, whole, among texts of at most SAMPLE_BYTES.
+#: Documents that train each language: those with the smallest hash, whole, among texts of at most SAMPLE_BYTES; where
+#: they are too few, the starts of longer ones.
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 16_384
 #: Byte values told apart; the rest share one symbol.
@@ -135,9 +136,11 @@ class Model:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
-    """At most rows texts of each language, none over most_bytes: a bounded sample for the driver."""
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    chosen = usable.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("ppm")).alias("_h")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_n") <= rows)
+    """At most rows texts of each language: a bounded sample for the driver. Texts of at most most_bytes come first, whole;
+    where a language has too few of them, longer ones give their first most_bytes / 4 characters."""
+    long = F.octet_length("text") > most_bytes
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.when(long, F.left("text", F.lit(most_bytes // 4))).otherwise(F.col("text")).alias("text"), long.alias("_long"), F.xxhash64(F.col("doc_id"), F.lit("ppm")).alias("_h"))
+    chosen = usable.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_h", "text"))).filter(F.col("_n") <= rows)
     out: dict[str, list[str]] = {}
     for r in chosen.select("lang", "text").orderBy("lang", "_n").collect():
         out.setdefault(r[0], []).append(r[1])
@@ -182,6 +185,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter, as ``predict`` asks: false for null."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: t is not None and bool(_LETTER.search(t))).astype(bool), "boolean")(text)
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every document's language with trees trained on the other folds' labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -365,6 +365,20 @@ def test_language_accuracy(spark):
     assert out.filter("lang_pred = lang").count() >= 0.98 * out.count()
 
 
+def test_long_texts_train_a_language(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    rows = [(i, " ".join(word("abcd") for _ in range(50)), "aa", "s") for i in range(20)] + [(100 + i, " ".join(word("wxyz") for _ in range(3000)), "ww", "s") for i in range(20)]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, language_id.train(df)).collect()}
+    assert got == {d: lang for d, _, lang, _ in rows}
+    assert all(len(t.encode()) <= 4096 for t in language_id.sample(df)["ww"])
+    none = docs(spark, [(1, "some words", None, "s"), (2, None, None, "s"), (3, "12 34", None, "s")])
+    assert [r["doc_id"] for r in cp.identify_language(spark, none, "").collect()] == [1]
+
+
 def test_top_k_with_ties_nulls_and_wide_values(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 64]) for i in range(80)] + [(80, None), (81, [1.0, None]), (82, [float("nan")] * 6), (83, [30.5, -7.25, 0.1, 0.0, 2.0, 1.0]), (7, [0.0] * 6)]
