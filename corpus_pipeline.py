@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.llm._common import key_hash, marked, row_filter, stored
 from graphloom.llm.language_id import has_letter, predict, train
 from graphloom.llm.mixing import mix
-from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.near_dedup import near_duplicates, row_key
 from graphloom.llm.packing import pack, pieces_of
 from graphloom.llm.suffix_dedup import dedup
 
@@ -31,13 +31,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the least id. Documents without an id stay."""
-    classes = near_duplicates(docs).groupBy("doc_id").agg(F.min("class_id").alias("_class"), F.count("*").alias("_rows"))
-    # Only documents that may have to go are moved: those of a class with a smaller id, and ids in several rows.
-    suspects = stored(classes.filter("doc_id is not null and (_class <> doc_id or _rows > 1)"), "suspects")
-    known = marked(docs, key_hash(F.col("doc_id").cast("long")), row_filter(suspects, key_hash("doc_id")), "_maybe")
-    moved = known.filter("_maybe").drop("_maybe").join(suspects.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").filter("_id is null or _class = _id")
-    once = moved.withColumn("_n", F.row_number().over(Window.partitionBy("_id", F.when(F.col("_id").isNull(), F.col("doc_id"))).orderBy(F.xxhash64("text")))).filter("_id is null or _n = 1")
+    """One row of each class of near duplicates: the least id, then the least hash of a text. Ids may repeat; documents
+    without an id or a text stay."""
+    rows = near_duplicates(docs, by_row=True).filter("doc_id is not null").groupBy("label", "doc_id", "row").agg(F.count("*").alias("_rows"))
+    rows = stored(rows, "rows")
+    first = rows.groupBy(F.col("label").alias("_label")).agg(F.min(F.struct("doc_id", "row")).alias("_first"))
+    placed = rows.join(first, F.col("label") == F.col("_label")).withColumn("_keep", F.struct("doc_id", "row") == F.col("_first"))
+    # Only rows that may have to go are moved: those of a class with an earlier row, and those there are several times.
+    suspects = stored(placed.filter("not _keep or _rows > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_keep"), "suspects")
+    known = marked(docs, key_hash(F.col("doc_id").cast("long"), row_key(F.col("text"))), row_filter(suspects, key_hash("_id", "_row")), "_maybe")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (row_key(F.col("text")) == F.col("_row")) & F.col("text").isNotNull()
+    moved = known.filter("_maybe").drop("_maybe").join(suspects, same, "left").filter("_id is null or _keep")
+    once = moved.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_row", F.when(F.col("_id").isNull(), F.col("doc_id"))).orderBy("_row"))).filter("_id is null or _n = 1")
     return known.filter(~F.col("_maybe")).select(docs.columns).unionByName(once.select(docs.columns))
 
 

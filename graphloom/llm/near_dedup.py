@@ -198,7 +198,7 @@ def similarity(runs_a: np.ndarray, w_a: np.ndarray, runs_b: np.ndarray, w_b: np.
     return max(jaccard(runs_a, w_a, runs_b, w_b), jaccard(runs_a, one[: len(runs_a)], runs_b, one[: len(runs_b)]))
 
 
-_SIGNED = "doc_id long, key_a long, key_b long, bands array<long>, samples binary"
+_SIGNED = "doc_id long, row long, key_a long, key_b long, bands array<long>, samples binary"
 
 
 def _sign(idf, sampler):
@@ -212,7 +212,7 @@ def _sign(idf, sampler):
             empty = np.diff(at) == 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
             lists = pc.if_else(pa.array(empty), pa.scalar(None, lists.type), lists)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(keys[:, j].view(np.int64)) for j in (0, 1)), lists, pa.array([x.astype("<u4").tobytes() for x in names], pa.binary())], ["doc_id", "key_a", "key_b", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *(pa.array(keys[:, j].view(np.int64)) for j in (0, 1)), lists, pa.array([x.astype("<u4").tobytes() for x in names], pa.binary())], ["doc_id", "row", "key_a", "key_b", "bands", "samples"])
 
     return run
 
@@ -412,14 +412,23 @@ def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_class) of every row of docs (doc_id, text): class_id is the least doc_id of its class."""
+def row_key(text: Column) -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(text)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool = False) -> DataFrame:
+    """(doc_id, class_id) of every row of docs (doc_id, text): class_id is the least doc_id of its class.
+
+    With by_row, (doc_id, row, label) of every row with a text, where ids may repeat: row is ``row_key`` of the text, and
+    label differs between classes."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n, sketch = document_frequency(docs)
     idf = spark.sparkContext.broadcast(idf_table(n, sketch))
-    signed = docs.filter(F.col("text").isNotNull()).mapInArrow(lean(_sign(idf, _worker_sampler)), _SIGNED)
+    own_row = row_key(F.col("text")) if by_row else F.lit(None).cast("long")
+    signed = docs.filter(F.col("text").isNotNull()).withColumn("row", own_row).mapInArrow(lean(_sign(idf, _worker_sampler)), _SIGNED)
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     # One row stands for all texts with the same words.
     nodes = stored(signed.groupBy("key_a", "key_b").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")
@@ -458,6 +467,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = joined(labels, _crossing(large, labels, texts, idf, threshold))
     classed = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key_a", "key_b", "least", F.coalesce("label", "node").alias("label"))
     classed = stored(classed, "classes")
+    if by_row:
+        return signed.select("doc_id", "row", "key_a", "key_b").join(classed.select("key_a", "key_b", "label"), ["key_a", "key_b"]).select("doc_id", "row", "label")
     least = classed.groupBy("label").agg(F.min("least").alias("class_id"))
     names = classed.join(least, "label").select("key_a", "key_b", "class_id")
     rows = signed.select("doc_id", "key_a", "key_b").join(names, ["key_a", "key_b"]).select("doc_id", "class_id")

@@ -391,6 +391,18 @@ def test_top_k_with_ties_nulls_and_wide_values(spark):
             assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == qid), key=lambda r: r["rank"])] == want
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id are different documents; only near copies go."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, d), (4, d + " more"), (None, a), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in cp.drop_near_duplicates(spark, df, "").collect())
+    assert got == sorted([(0, a), (1, a), (1, b), (2, c), (3, d), (5, ""), (5, "")])
+
+
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline as cp
 
