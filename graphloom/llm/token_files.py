@@ -7,7 +7,8 @@ the l low bits of every boundary; the high bits in unary; and the place of every
 returns any boundary in constant time without a table of 64-bit offsets.
 
 Null text: empty, one end id. Null id: before all others. Equal ids: by text. Repeated rows: one document each.
-Empty table: no segments and no rows. A very long text: a segment of its own.
+Empty table: no segments and no rows. A very long text: a segment of its own. Extra columns: not read. A text with the
+string of a special token: the ids that the library gives it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import row_order, slices, small_batches, stored
-from .tokens import encoder
+from ._common import lean, row_order, slices, small_batches, stored
+from .tokens import Encoder
 
 SEGMENT_TOKENS = 1 << 20
 PART_ROWS = 2000
@@ -70,7 +71,7 @@ class EliasFano:
         """The i-th number, from the nearest sampled place onward."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        place = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
+        place = int.from_bytes(self.samples[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
         left = i % SAMPLE
         byte, mask = place // 8, 0xFF << (place % 8) & 0xFF
         while left >= (ones := (self.high[byte] & mask).bit_count()):
@@ -84,12 +85,6 @@ class EliasFano:
         low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little") >> (first % 8) & ((1 << self.low_bits) - 1)
         return (place - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else np.zeros(self.n, np.int64)
-        return (places - np.arange(self.n) << self.low_bits) + low
-
 
 _IDS = "doc_id long, _part int, width int, n_tokens long, ids binary"
 _SEGMENT = "part int, first_token long, width int, n_docs int, n_tokens long, doc_ids binary, nulls binary, boundaries binary, ids binary"
@@ -98,7 +93,7 @@ _ROWS = "doc_id long, part int, first long, n_tokens long, ids_crc32 long"
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, press = encoder(path), zstandard.ZstdCompressor(1)
+        enc, press = Encoder(path), zstandard.ZstdCompressor(1)
         end = np.array([end_id], enc.dtype).tobytes()
         for part in slices(batches, "text"):
             ids = [x + end for x in enc.encode(["" if t is None else t for t in part.column("text").to_pylist()])]
@@ -138,7 +133,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             ids = np.frombuffer(r["ids"], f"<u{r['width']}")
-            ends = EliasFano.from_bytes(r["boundaries"]).all()
+            boundaries = EliasFano.from_bytes(r["boundaries"])
+            ends = np.array([boundaries.select(i) for i in range(r["n_docs"] + 1)], np.int64)
             nulls = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[: r["n_docs"]].astype(bool)
             crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=nulls), pa.array([r["part"]] * r["n_docs"], pa.int32()), pa.array(r["first_token"] + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "part", "first", "n_tokens", "ids_crc32"])
@@ -148,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     """Encode docs (doc_id, text) and write the file; returns its segments as read back from the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
-    ids = row_order(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", PART_ROWS).mapInArrow(_encode(tokenizer_path, end_id), _IDS)
+    ids = row_order(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", PART_ROWS).mapInArrow(lean(_encode(tokenizer_path, end_id)), _IDS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The hash of a part number spreads parts; within a partition they are in order, and so are their documents.
     ordered = ids.repartition(parts, "_part").sortWithinPartitions("_part", "doc_id", "ids")
@@ -156,7 +152,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the file, decoded from its segments."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the file, whose place the
+    boundaries' ``select`` gives."""
     sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # MOST_PARTS rows at most
     starts = sums.select(F.col("part").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     rows = segments.mapInArrow(_read, _ROWS).join(F.broadcast(starts), F.col("part") == F.col("_p"))

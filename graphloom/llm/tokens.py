@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that one Python worker remembers (some 200 MB).
-REMEMBERED = 1_000_000
+#: Pieces that a task remembers (some 40 MB).
+REMEMBERED = 250_000
 #: White space other than blank and newline: a text that has any is encoded in one call.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
@@ -57,7 +56,8 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes (uint16 where the vocabulary fits, else uint32).
+    """Ids of whole texts as little-endian bytes (uint16 where the vocabulary fits, else uint32), as the library gives
+    them: a text that holds the string of a special token is encoded in one call.
 
     A blank or newline always starts a pre-token of these tokenizers, so the ids of a text are those of its pieces.
     Runs of white space are exceptions for a tokenizer that keeps white space; such texts are encoded whole."""
@@ -67,7 +67,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = bool(self.encode_whole([" "])[0])
         self.known = _Pieces(self.tokenizer, self.keeps_space, self.dtype)
@@ -79,7 +79,9 @@ class Encoder:
         ids = self.known.__getitem__
         out = []
         for text in texts:
-            if not self.keeps_space:
+            if any(token in text for token in self.special):
+                out.append(self.known.whole(text))
+            elif not self.keeps_space:
                 out.append(b"".join(map(ids, text.replace("\n", " ").split(" "))))
             elif "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] in (" ", "\n") or any(c in text for c in _OTHER_SPACE):
                 out.append(self.known.whole(text))
@@ -91,8 +93,3 @@ class Encoder:
                 out.append(b"")
         return out
 
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its pieces live as long as the worker."""
-    return Encoder(path)
