@@ -7,8 +7,9 @@ largest remaining piece, each used as often as the counts allow, and prunes by t
 have. The answer is a list of patterns (lengths and how many bins use them). Pieces are then numbered within their
 length, in parallel, and look up their place in the patterns.
 
-Null text: empty, one end id. Null id: kept as null. Repeated rows: packed each. Empty table: empty result. Extra
-columns don't matter. The search stops after ``most_nodes`` nodes (fillings used or found dominated); the incumbent is
+Null text: empty, one end id. Null id: kept as null. Repeated rows: packed each. Ties: pieces of one length are alike
+and take their places in the order of tasks. A very long text: cut into as many pieces as it needs. Empty table: empty
+result. Extra columns: not read. A text with the string of a special token: the ids that the library gives it. The search stops after ``most_nodes`` nodes (fillings used or found dominated); the incumbent is
 then the answer.
 """
 
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, small_batches, stored
-from .tokens import encoder
+from ._common import lean, slices, small_batches, stored
+from .tokens import Encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -265,7 +266,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _tas
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, task = encoder(path), Counter(), TaskContext.get().partitionId()
+        enc, seen, task = Encoder(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
         for part in slices(batches, "text"):
             rows = []
@@ -284,7 +285,7 @@ def _cut(path: str, end_id: int, capacity: int):
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its task; stored, so that ranks stay."""
     small_batches(docs.sparkSession)
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer_path, end_id, capacity), _PIECES), "pieces")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_cut(tokenizer_path, end_id, capacity)), _PIECES), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> DataFrame:
@@ -309,8 +310,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_nodes: int = MOST_NOD
                 bins[own], offsets[own] = table.find(int(lengths[own[0]]), ranks[own])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["length", "_task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The counts grow with the number of tasks, so they are never broadcast.
+    ranked = pieces.join(before.hint("merge"), ["length", "_task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
