@@ -8,17 +8,25 @@ top bit downward with doubling. Then the top rows are found from the most signif
 bit set go above the others as long as they don't exceed k; the rest narrow the boundary. Rows that stay tied at
 the boundary are resolved exactly by their ids. A last merge takes the best k of all blocks.
 
-Null, non-finite or absent components, null vectors, and components of 2**24 or more after scaling (whose scores
-might not fit a long) take no part. Vectors of different lengths are compared as if padded with zeros. Null ids take no part. Repeated rows
-are separate candidates; a query leaves out its own row only. Empty table: empty result.
+All scores are exact whole numbers, however wide the components: vectors with a component of 2**24 or more after
+scaling are dealt into blocks of their own, whose slices are as many as they need. A score beyond a long is returned as
+the nearest long; ranks go by the exact number.
+
+Null vectors and vectors with a null or non-finite component take no part, and neither do null ids. Vectors of
+different lengths, the empty one too, are compared as if padded with zeros. Repeated rows are separate candidates; a
+query leaves out its own row only. Ties go to the smaller id; rows that share id and score are in no fixed order, which
+no column shows. Empty table: empty result. Extra columns: not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +36,11 @@ SCALE = 64
 TOP = 20
 QUERY_STEP = 20
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 256
-MOST = 1 << 24
+#: As many queries as make copies of row blocks and copies of query blocks cost about the same, within a task's memory.
+BLOCK_QUERIES = 4096
+#: From here on a component is wide.
+WIDE = 1 << 24
+LONGEST = (1 << 63) - 1
 
 
 class BitSlices:
@@ -45,7 +56,8 @@ class BitSlices:
         for d in range(dims):
             bits = int(self.top[d]).bit_length()
             rows = np.zeros((bits, self.words * 64), np.uint8)
-            rows[:, : self.n] = offset[:, d] >> np.arange(bits)[:, None] & 1
+            for b in range(bits):
+                rows[b, : self.n] = offset[:, d] >> b & 1
             self.slices.append(np.packbits(rows, axis=1, bitorder="little").view("<u8") if bits else np.zeros((0, self.words), "<u8"))
         self.all_rows = np.packbits(np.arange(self.words * 64) < self.n, bitorder="little").view("<u8")
 
@@ -112,82 +124,118 @@ def search_block(index: BitSlices, ids: np.ndarray, query: np.ndarray, k: int, o
     above, tied = index.top_rows(slices, k, own_row)
     tied = tied[np.argsort(ids[tied], kind="stable")][: max(0, k - len(above))]
     rows = np.concatenate([above, tied])
-    scores = np.full(len(rows), constant, np.int64)
+    wide = len(slices) > 61 or abs(constant) >> 61
+    scores = np.full(len(rows), constant, object if wide else np.int64)
     for place, bitmap in enumerate(slices):
-        scores += (bitmap[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << place
+        scores += (bitmap[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(scores.dtype) << place
     return list(zip(scores.tolist(), ids[rows].tolist(), strict=True))
 
 
-_BLOCK = "ids binary, uids binary, dims int, values binary"
+_BLOCK = "_b long, ids binary, uids binary, dims int, kind string, values binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(batches)
-    if not table.num_rows:
-        return
-    vectors = table.column("v").to_pylist()
-    dims = max(map(len, vectors))
-    values = np.zeros((len(vectors), dims), "<i4")
-    for i, v in enumerate(vectors):
-        values[i, : len(v)] = v
-    row = [table.column("vec_id").to_numpy().astype("<i8").tobytes(), table.column("uid").to_numpy().astype("<i8").tobytes(), dims, values.tobytes()]
-    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["ids", "uids", "dims", "values"])
+def to_whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) exactly: as int64 where that holds every value, else as Python's whole numbers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(x * scale)
+    if not x.size or np.abs(scaled).max() < 1 << 53:
+        return scaled.astype(np.int64)
+    flat = [int(s) if math.isfinite(s) else math.floor(Fraction(v) * scale) for s, v in zip(scaled.ravel().tolist(), x.ravel().tolist(), strict=True)]
+    return np.array(flat, object).reshape(x.shape)
 
 
-def quantise(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(uid, vec_id, v) of the rows that take part, stored so that uid stays."""
+def _pack(scale: int):
+    def run(table: pa.Table) -> pa.Table:
+        column = table.column("v").combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy().astype(np.int64)
+        dims = int(sizes.max())
+        x = np.zeros((len(sizes), dims))
+        x[np.arange(dims)[None, :] < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        values = to_whole(x, scale)
+        kind = "json" if values.dtype == object else "<i4" if not values.size or np.abs(values).max() < 1 << 31 else "<i8"
+        data = json.dumps(values.tolist()).encode() if kind == "json" else values.astype(kind).tobytes()
+        row = [table.column("_b")[0].as_py(), table.column("vec_id").to_numpy().astype("<i8").tobytes(), table.column("uid").to_numpy().astype("<i8").tobytes(), dims, kind, data]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    return run
+
+
+def _values(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, uids and whole-number vectors of a block."""
+    ids, uids = (np.frombuffer(block[c], "<i8") for c in ("ids", "uids"))
+    if block["kind"] == "json":
+        return ids, uids, np.array(json.loads(block["values"]), object).reshape(len(ids), block["dims"])
+    return ids, uids, np.frombuffer(block["values"], block["kind"]).astype(np.int64).reshape(len(ids), block["dims"])
+
+
+def order_key(score: int) -> bytes | None:
+    """For scores at or beyond a long's ends, bytes that sort as the scores do; null for all others."""
+    if abs(score) < LONGEST:
+        return None
+    size = abs(score).to_bytes((abs(score).bit_length() + 7) // 8)
+    key = len(size).to_bytes(4) + size
+    return key if score > 0 else bytes(255 - b for b in key)
+
+
+_FOUND = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())])
+
+
+def _search(k: int):
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and queries.num_rows:
+            ids, uids, vectors = _values(rows.to_pylist()[0])
+            index, place = BitSlices(vectors), {u: i for i, u in enumerate(uids.tolist())}
+            for q, u, v in zip(*_values(queries.to_pylist()[0]), strict=True):
+                for s, i in search_block(index, ids, v[: vectors.shape[1]], k, place.get(int(u), -1)):
+                    found.append((int(u), int(q), i, max(-LONGEST - 1, min(LONGEST, s)), order_key(s)))
+        return pa.Table.from_arrays([pa.array([r[j] for r in found], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
+
+    return run
+
+
+def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """(uid, vec_id, v, wide) of the rows that take part, stored so that uid stays."""
     x = F.col(column)
-    usable = x.isNotNull() & F.col(id_column).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double") * scale) < MOST))
-    out = vectors.filter(usable).select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("int")).alias("v"))
-    return stored(out, "quantised")
-
-
-def top_k(quantised: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """The k best candidates of each query row: (query_id, rank, vec_id, score).
-
-    Blocks of queries meet blocks of rows; each pair of blocks is a row of the plan."""
-    blocks = max(1, -(-quantised.count() // block_rows))
-    queries = quantised.filter(is_query)
-    groups = max(1, -(-queries.count() // block_queries))
-    deal = lambda df, n: df.withColumn("_b", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")).groupBy("_b").applyInArrow(lambda t: pa.Table.from_batches(list(_pack(iter(t.to_batches()))), _SCHEMA), _BLOCK)
-    rows = deal(quantised, blocks).select(*[F.col(c).alias(f"r_{c}") for c in ("ids", "uids", "dims", "values")], F.monotonically_increasing_id().alias("_row"))
-    rows = stored(rows, "row-blocks")
-    wanted = stored(deal(queries, groups), "query-blocks")
-    # Every pair of blocks: a row block is written once, its bytes reach each group of queries once.
-    pairs = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(wanted.withColumn("_g", F.row_number().over(Window.orderBy(F.xxhash64("uids"))) - 1), "_g")
-    parts = max(int(quantised.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held != r["_row"]:
-                    held, index = r["_row"], BitSlices(np.frombuffer(r["r_values"], "<i4").reshape(-1, r["r_dims"]).astype(np.int64))
-                    ids = np.frombuffer(r["r_ids"], "<i8")
-                    place = {u: i for i, u in enumerate(np.frombuffer(r["r_uids"], "<i8").tolist())}
-                values = np.frombuffer(r["values"], "<i4").reshape(-1, r["dims"]).astype(np.int64)
-                out = []
-                for q, u, v in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["uids"], "<i8").tolist(), values[:, : r["r_dims"]], strict=True):
-                    out += [(u, q, i, s) for s, i in search_block(index, ids, v, k, place.get(u, -1))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["uid", "query_id", "vec_id", "score"])
-
-    found = pairs.repartition(parts, "_row", "_g").sortWithinPartitions("_row").mapInArrow(search, "uid long, query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-_SCHEMA = pa.schema([("ids", pa.binary()), ("uids", pa.binary()), ("dims", pa.int32()), ("values", pa.binary())])
+    size = lambda e: F.abs(e.cast("double"))
+    good = x.isNotNull() & F.col(id_column).isNotNull() & F.forall(x, lambda e: e.isNotNull() & (size(e) < float("inf")))
+    wide = F.exists(x, lambda e: size(e) * scale >= WIDE)
+    own = x if vectors.select(column).schema[0].dataType.simpleString() == "array<float>" else x.cast("array<double>")
+    return stored(vectors.filter(good).select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("vec_id"), own.alias("v"), wide.alias("wide")), "vectors")
+
+
+def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """The k best candidates of each query row of ``usable`` vectors: (query_id, rank, vec_id, score).
+
+    Every block of queries meets every block of rows, each pair in a task of its own."""
+
+    def deal(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+        n, wide = df.agg(F.count("*"), F.coalesce(F.max("wide"), F.lit(False))).first()
+        blocks = max(1, -(-n // most))
+        number = F.pmod(F.xxhash64("uid"), F.lit(blocks)) + F.when(F.col("wide"), F.lit(blocks)).otherwise(F.lit(0))
+        return stored(df.withColumn("_b", number.cast("long")).groupBy("_b").applyInArrow(_pack(scale), _BLOCK), "vector-blocks"), blocks * (1 + wide)
+
+    rows, n_rows = deal(vectors, block_rows)
+    queries, n_queries = deal(vectors.filter(is_query), block_queries)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = rows.withColumnRenamed("_b", "_row").withColumn("_query", numbers(n_queries))
+    queries = queries.withColumnRenamed("_b", "_query").withColumn("_row", numbers(n_rows))
+    found = rows.groupBy("_row", "_query").cogroup(queries.groupBy("_row", "_query")).applyInArrow(_search(k), "uid long, query_id long, vec_id long, score long, key binary")
+    best = Window.partitionBy("uid").orderBy(F.col("score").desc(), F.col("key").desc_nulls_last(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+_SCHEMA = pa.schema([("_b", pa.int64()), ("ids", pa.binary()), ("uids", pa.binary()), ("dims", pa.int32()), ("kind", pa.string()), ("values", pa.binary())])
 
 
 def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates of every row whose vec_id is divisible by 20."""
-    return top_k(quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("vec_id") % QUERY_STEP == 0)
+    return top_k(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("vec_id") % QUERY_STEP == 0)
 
 
 OP10_SQL = """
 with v as (select rowid_ uid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from (select *, row_number() over () rowid_ from embeddings)
-  where embedding is not null and vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as (select q.uid, q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint score from v q join v c on q.uid <> c.uid where q.vec_id % 20 = 0)
 select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by uid order by score desc, vec_id) rank from p) where rank <= 20
 """
