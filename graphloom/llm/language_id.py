@@ -3,13 +3,15 @@
 For each language a context tree of bytes, up to ``ORDER`` bytes deep, is counted on a bounded sample of labelled
 documents. A byte is coded in the deepest known context; one not seen there costs an escape (method C: d distinct of n
 counts gives d / (n + d)) and is coded in the next shorter context without the bytes already excluded, at last evenly
-over the alphabet. With frozen counts the length of a code depends on the last ORDER bytes alone, so every tree is
-flattened to a table of states and a table of bits per state and byte; scoring a text is two look-ups a byte. The
+over all byte values. With frozen counts the length of a code depends on the last ORDER bytes alone, so every tree is
+flattened to tables of states and a table of bits per state and byte; scoring a text is a few look-ups a byte. The
 language with the shortest exact code of the whole text wins (ties: the least name); its score is
 its share when each code length L weighs 2**-L.
 
 Null text or one without a letter: ``und``, score 0. Labels: rows with null lang or text don't train. No training rows:
-everything is ``und``. Repeated rows: scored each. Empty table: empty result. Extra columns don't matter.
+everything is ``und``. Repeated rows: scored each. Ties of the training sample: by text. Very long texts: scored whole,
+slice by slice of rows. Empty table: empty result. Extra columns: kept; ``predict`` replaces columns named ``lang_pred`` and
+``score``. The model's size is bounded by the sample: SAMPLE_ROWS texts of at most SAMPLE_BYTES for each language.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, small_batches, utf8
+from ._common import lean, slices, small_batches, utf8
 
 ORDER = 3
 #: Documents that train each language: those with the smallest hash, whole, among texts of at most SAMPLE_BYTES; where
 #: they are too few, the starts of longer ones.
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 16_384
-#: Byte values told apart; the rest share one symbol.
-ALPHABET = 112
+BYTES = 256
 FOLDS = 5
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -41,7 +42,9 @@ def held_out(id_column: Column, folds: int = FOLDS) -> Column:
 
 
 class ContextTree:
-    """Counts of the symbols after every context of 0..order symbols; symbols are 0..size-1, and 0 also pads starts."""
+    """Counts of the symbols after every context of 0..order symbols; symbols are 0..size-1, and 0 pads starts.
+
+    Symbols stand for the byte values seen in training; the last one for any other, each of which costs the same."""
 
     def __init__(self, size: int, order: int, texts: list[np.ndarray]):
         self.size, self.order = size, order
@@ -61,51 +64,57 @@ class ContextTree:
 
     def bits(self, context: list[int]) -> np.ndarray:
         """The code length of every symbol after the context (its last symbols count)."""
-        out, cost, seen = np.zeros(self.size), 0.0, np.zeros(self.size, bool)
-        open_ = np.ones(self.size, bool)
+        out, cost, seen = np.full(self.size, np.inf), 0.0, np.zeros(self.size, bool)
         for k in range(min(self.order, len(context)), -1, -1):
             code = 0
             for c in context[len(context) - k :]:
                 code = code * self.size + c
-            found = self.counts[k].get(code)
-            if not found:
-                continue
-            new = {s: n for s, n in found.items() if not seen[s]}
-            if not new:
-                continue
-            total = sum(new.values())
-            for s, n in new.items():
-                out[s] = cost - np.log2(n / (total + len(new)))
-                open_[s] = False
-            cost -= np.log2(len(new) / (total + len(new)))
-            seen[list(new)] = True
-        out[open_] = cost + np.log2(max(1, open_.sum()))
+            new = {s: n for s, n in self.counts[k].get(code, {}).items() if not seen[s]}
+            if new:
+                symbols, n = np.fromiter(new, np.int64), np.fromiter(new.values(), np.float64)
+                total = n.sum() + len(new)
+                out[symbols] = cost - np.log2(n / total)
+                cost -= np.log2(len(new) / total)
+                seen[symbols] = True
+        rest = ~seen
+        rest[0] = False
+        out[rest] = cost + np.log2(max(1, BYTES - int(seen.sum())))
         return out
 
-    def flatten(self) -> tuple[np.ndarray, np.ndarray]:
-        """The state of each context of ``order`` symbols, and the bits of (state, symbol). States: known contexts."""
-        size, order = self.size, self.order
-        states = np.zeros(size**order, np.uint16 if sum(map(len, self.counts)) < 1 << 16 else np.int32)
+    def flatten(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the last two symbols, the number of their context (0: unknown) and the state without a longer one; for
+        this number and the symbol before, the state of all three (0: unknown); and the bits of (state, symbol)."""
+        size = self.size
         rows = [self.bits([])]
-        for k in range(1, order + 1):
-            grid = states.reshape([size] * order)
-            for code in sorted(self.counts[k]):
-                context = [code // size ** (k - 1 - j) % size for j in range(k)]
-                grid[(slice(None),) * (order - k) + tuple(context)] = len(rows)
-                rows.append(self.bits(context))
-        return states, np.stack(rows).astype(np.float32)
+        near = np.zeros((size, size), np.int32)
+        for c in sorted(self.counts[1]) if self.order else ():
+            near[:, c] = len(rows)
+            rows.append(self.bits([c]))
+        number = np.zeros((size, size), np.int32)
+        known = sorted(self.counts[2]) if self.order > 1 else []
+        for i, code in enumerate(known, 1):
+            number[divmod(code, size)] = i
+            near[divmod(code, size)] = len(rows)
+            rows.append(self.bits([*divmod(code, size)]))
+        far = np.zeros((len(known) + 1, size), np.int32)
+        for code in sorted(self.counts[3]) if self.order > 2 else ():
+            before, pair = divmod(code, size * size)
+            far[number[divmod(pair, size)], before] = len(rows)
+            rows.append(self.bits([before, *divmod(pair, size)]))
+        return number.ravel(), near.ravel(), far.ravel(), np.stack(rows).astype(np.float32).ravel()
 
 
 class Model:
-    """Flattened trees of all languages over one alphabet."""
-
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, alphabet: int = ALPHABET):
-        data = {lang: [np.frombuffer(t.lower().encode(), np.uint8) for t in texts] for lang, texts in samples.items()}
-        totals = sum((np.bincount(t, minlength=256) for texts in data.values() for t in texts), np.zeros(256, np.int64))
-        kept = [b for b in np.argsort(-totals, kind="stable")[:alphabet].tolist() if totals[b]]
-        self.symbol = np.full(256, len(kept) + 1, np.int32)
+    """Flattened trees of all languages over one alphabet: the byte values that any of them has."""
+
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
+        if order > 3:
+            raise ValueError("contexts of at most three bytes")
+        data = {lang: [utf8(pc.utf8_lower(pa.array([t], pa.large_string())))[0] for t in texts] for lang, texts in samples.items()}
+        kept = np.flatnonzero(sum((np.bincount(t, minlength=BYTES) for texts in data.values() for t in texts), np.zeros(BYTES, np.int64)))
+        self.symbol = np.full(BYTES, len(kept) + 1, np.int32)
         self.symbol[kept] = np.arange(1, len(kept) + 1)
-        self.size, self.order = len(kept) + 2, order  # 0 pads, the last stands for all other bytes
+        self.size, self.order = len(kept) + 2, order
         self.langs = sorted(data)
         self.trees = {lang: ContextTree(self.size, order, [self.symbol[t].astype(np.int64) for t in data[lang]]) for lang in self.langs}
         self.tables = [self.trees[lang].flatten() for lang in self.langs]
@@ -115,23 +124,19 @@ class Model:
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths in bits: a row for each text, a column for each language."""
-        n, k = len(offsets) - 1, self.order
+        n, k = len(offsets) - 1, 3
         at = np.arange(len(data)) + k * np.repeat(np.arange(1, n + 1), np.diff(offsets))
         codes = np.zeros(len(data) + k * n + 1, np.int32)
         codes[at] = self.symbol[data]
-        context = np.zeros(len(data), np.int32)
-        for j in range(k, 0, -1):
-            context *= self.size
-            context += codes[at - j]
-        own = codes[at]
+        pair = codes[at - 2] * np.int32(self.size) + codes[at - 1]
+        before, own = codes[at - 3], codes[at]
         out = np.zeros((n, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets))
-        for i, (states, bits) in enumerate(self.tables):
+        for i, (number, near, far, bits) in enumerate(self.tables):
             if len(full):
-                place = states[context].astype(np.int32)
-                place *= self.size
-                place += own
-                out[full, i] = np.add.reduceat(bits.reshape(-1)[place], offsets[full], dtype=np.float64)
+                state = far[number[pair] * np.int32(self.size) + before]
+                state = np.where(state == 0, near[pair], state)
+                out[full, i] = np.add.reduceat(bits[state.astype(np.int64) * self.size + own], offsets[full], dtype=np.float64)
         return out
 
 
@@ -182,7 +187,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    return docs.withColumn("_text", F.col("text")).mapInArrow(lean(run), schema)
 
 
 def has_letter(text: Column) -> Column:
