@@ -5,25 +5,26 @@ if it has fewer. Weight: count in the document times an inverse document frequen
 count-min sketch of all documents (a fixed size, so a count stands for the share of documents; runs in fewer than one in
 RARE are all rare alike). A near copy keeps its likeness even where a passage is common.
 
-1. Documents with equal words (by a 128-bit hash) are one node, represented by one row.
+1. Documents with equal words (by a BLAKE2b digest of 128 bits) are one node, represented by one row.
 2. Each node has SAMPLES consistent samples; BANDS of ROWS samples make bucket keys. Two texts with weighted Jaccard
    similarity s share a sample with probability s.
 3. In a bucket of at most SMALL nodes every pair is a candidate. In a larger one each node is paired with two centres
    (the first and last by hash), the same in every band where it can be. Pairs whose samples agree too rarely for 0.8
-   are dropped; the rest are verified by their exact weighted Jaccard similarity, from whole texts (a pair whose plain
-   shingle sets reach the threshold is a link too, so that weights never hide a copy).
+   are dropped; the rest are verified by their exact weighted Jaccard similarity, from whole texts.
 4. Components of the verified links are classes. A larger bucket whose nodes are still in different classes is cut into
    tiles, ordered by class, and every tile meets every other and itself: the exact similarity of all their pairs comes
    from matrix products. Only two tiles of one and the same class are left out. So no cap on a bucket hides a class;
    the work there grows with the square of the nodes outside its largest class.
 
 Null text: no features, a class of its own. Empty texts and texts without words: equal, so one class. Repeated rows and
-exact copies: one class. Ties: the least id names a class. Null id: allowed, never names a class unless alone.
-Empty table: empty result. Extra columns stay out. Sampling misses a pair at 0.8 with probability 0.03%.
+exact copies: one class. Ties: the least id names a class. Null id: allowed, never names a class unless alone. Very long
+texts: all their shingles count. Empty table: empty result. Extra columns: not read. Sampling misses a pair at 0.8 with
+probability 0.03%.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -57,14 +58,25 @@ SKETCH_BITS = 18
 SKETCH_ROWS = 2
 RARE = 100.0
 IDF_FLOOR = 0.75
+#: Documents without shared shingles that are added to the count, so that in a small table nothing is common by chance.
+PRIOR = 10_000
 #: Samples that must agree before a pair is verified: fewer than 0.8 * 36 by over 4 standard deviations.
 LEAST_AGREE = 18
 FILTER_BITS = 1 << 24
 _SLICE = 1 << 16
 
 
-def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text (ascending), their counts, each text's first shingle, and a hash of all words."""
+def word_keys(texts: pa.Array) -> np.ndarray:
+    """Two 64-bit halves of a digest of each text's words."""
+    data, offsets = utf8(pc.utf8_lower(texts))
+    raw, ends = data.tobytes(), offsets.tolist()
+    # Bytes are split at ASCII white space, as the words of shingles are.
+    digests = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
+    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+
+
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text (ascending), their counts, and each text's first shingle."""
     data, offsets = utf8(pc.utf8_lower(texts))
     starts, ends, firsts = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
@@ -77,15 +89,7 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
     kept = np.flatnonzero(new)
     counts = np.diff(np.append(kept, len(runs)))
-    at = np.searchsorted(row[kept], np.arange(n + 1))
-    # The words in order, as two 64-bit polynomial sums.
-    place = np.arange(len(words)) - np.repeat(firsts[:-1], np.diff(firsts))
-    keys = np.zeros((n, 2), np.uint64)
-    full = np.flatnonzero(np.diff(firsts))
-    if len(full):
-        for j, x in enumerate((words, mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
-            keys[full, j] = mix(np.add.reduceat(mix(x + mix(place.astype(np.uint64) + np.uint64(77 * j + 1))), firsts[:-1][full]))
-    return runs[kept], counts, at, keys
+    return runs[kept], counts, np.searchsorted(row[kept], np.arange(n + 1))
 
 
 def _places(runs: np.ndarray) -> list[np.ndarray]:
@@ -101,7 +105,7 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
         for part in slices(batches, "text"):
-            runs, _, _, _ = _features(part.column("text"))
+            runs, _, _ = _features(part.column("text"))
             n += part.num_rows
             for r, at in enumerate(_places(runs)):
                 sketch[r] += np.bincount(at, minlength=1 << SKETCH_BITS)
@@ -124,9 +128,9 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(found.pop(-1)[0]), np.concatenate([found[i] for i in sorted(found)]).reshape(SKETCH_ROWS, -1)
 
 
-def idf_table(n: int, sketch: np.ndarray) -> np.ndarray:
+def idf_table(n: int, sketch: np.ndarray, prior: int = PRIOR) -> np.ndarray:
     """The weight of each sketch cell: 1 for shares under 1 / RARE, down to IDF_FLOOR for shingles of all documents."""
-    share = np.maximum(sketch, 1) / max(n, 1)
+    share = np.maximum(sketch, 1) / max(n + prior, 1)
     return (IDF_FLOOR + (1 - IDF_FLOOR) * np.clip(-np.log(share) / np.log(RARE), 0, 1)).astype(np.float32)
 
 
@@ -192,27 +196,23 @@ def jaccard(runs_a: np.ndarray, w_a: np.ndarray, runs_b: np.ndarray, w_b: np.nda
     return least / most if most else 1.0
 
 
-def similarity(runs_a: np.ndarray, w_a: np.ndarray, runs_b: np.ndarray, w_b: np.ndarray) -> float:
-    """The weighted similarity, or that of the plain shingle sets where it is larger: weights never hide a copy."""
-    one = np.ones(max(len(runs_a), len(runs_b)), np.float32)
-    return max(jaccard(runs_a, w_a, runs_b, w_b), jaccard(runs_a, one[: len(runs_a)], runs_b, one[: len(runs_b)]))
-
-
-_SIGNED = "doc_id long, row long, key_a long, key_b long, bands array<long>, samples binary"
+_SIGNED = "doc_id long, row long, key_a long, key_b long, bands array<long>, samples array<int>"
 
 
 def _sign(idf, sampler):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, draw = idf.value, sampler()
         for part in slices(batches, "text"):
-            runs, counts, at, keys = _features(part.column("text"))
+            runs, counts, at = _features(part.column("text"))
+            keys = word_keys(part.column("text"))
             names = draw.sample(runs, weights(runs, counts, table), at)
             factors = seeds(ROWS, 31) | np.uint64(1)
             bands = mix((mix(names.astype(np.uint64).reshape(-1, BANDS, ROWS) + np.uint64(1)) * factors).sum(axis=2, dtype=np.uint64))
             empty = np.diff(at) == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+            listed = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.reshape(-1)))
+            lists = listed(bands.view(np.int64), BANDS)
             lists = pc.if_else(pa.array(empty), pa.scalar(None, lists.type), lists)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *(pa.array(keys[:, j].view(np.int64)) for j in (0, 1)), lists, pa.array([x.astype("<u4").tobytes() for x in names], pa.binary())], ["doc_id", "row", "key_a", "key_b", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *(pa.array(keys[:, j].view(np.int64)) for j in (0, 1)), lists, listed(names.view(np.int32), SAMPLES)], ["doc_id", "row", "key_a", "key_b", "bands", "samples"])
 
     return run
 
@@ -227,15 +227,8 @@ def _worker_sampler() -> Sampler:
 
 
 def _agree(a: Column, b: Column) -> Column:
-    @F.pandas_udf("int")
-    def count(x, y):
-        import pandas as pd
-
-        left = np.frombuffer(b"".join(x), "<u4").reshape(len(x), -1)
-        right = np.frombuffer(b"".join(y), "<u4").reshape(len(y), -1)
-        return pd.Series((left == right).sum(axis=1).astype(np.int32))
-
-    return count(a, b)
+    """How many samples two rows share."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
 def _verify(idf, threshold: float):
@@ -248,10 +241,10 @@ def _verify(idf, threshold: float):
                 for c in ("text_a", "text_b"):
                     distinct = batch.column(c).dictionary_encode()
                     whole = pa.array([unpress.decompress(x).decode() for x in distinct.dictionary.to_pylist()], pa.string())
-                    runs, counts, at, _ = _features(whole)
+                    runs, counts, at = _features(whole)
                     sides.append((distinct.indices.to_pylist(), runs, weights(runs, counts, table), at))
                 (ia, ra, wa, pa_), (ib, rb, wb, pb) = sides
-                near = [similarity(ra[pa_[i] : pa_[i + 1]], wa[pa_[i] : pa_[i + 1]], rb[pb[j] : pb[j + 1]], wb[pb[j] : pb[j + 1]]) for i, j in zip(ia, ib, strict=True)]
+                near = [jaccard(ra[pa_[i] : pa_[i + 1]], wa[pa_[i] : pa_[i + 1]], rb[pb[j] : pb[j + 1]], wb[pb[j] : pb[j + 1]]) for i, j in zip(ia, ib, strict=True)]
                 keep = pa.array([x >= threshold for x in near])
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(near).filter(keep)], ["a", "b", "similarity"])
 
@@ -302,14 +295,13 @@ class _Tile:
         self.nodes, self.labels = nodes, labels
         unpress = zstandard.ZstdDecompressor()
         column = pa.array([unpress.decompress(x).decode() for x in texts], pa.string())
-        found = [_features(part.column("text"))[:3] for part in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
+        found = [_features(part.column("text")) for part in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
         self.runs, self.counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         self.w = weights(self.runs, self.counts, idf)
         sizes = np.concatenate([np.diff(f[2]) for f in found])
         self.at = np.concatenate([[0], np.cumsum(sizes)])
         self.row = np.repeat(np.arange(len(nodes)), sizes)
         self.total = np.bincount(self.row, self.w, len(nodes))
-        self.distinct = sizes
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-th occurrence of each shingle as a key of its own, so that the weight of common keys is the sum of least
@@ -323,22 +315,16 @@ class _Tile:
 
 
 def _similar(x: _Tile, y: _Tile, threshold: float) -> np.ndarray:
-    """Which pairs of x and y, of different classes, reach the threshold by ``similarity``."""
-    shape = (len(x.nodes), len(y.nodes))
-    near = np.zeros(shape, np.float32)
+    """Which pairs of x and y, of different classes, reach the threshold."""
     row_x, key_x, each = x.repeats()
     row_y, key_y, _ = y.repeats()
-    one = np.ones(len(x.runs), np.float32)
-    for least, a, b in (
-        (overlaps(row_x, key_x, row_y, key_y, each, shape), x.total, y.total),
-        (overlaps(x.row, x.runs, y.row, y.runs, one, shape), x.distinct, y.distinct),
-    ):
-        most = a[:, None].astype(np.float32) + b[None, :].astype(np.float32) - least
-        np.maximum(near, least / np.maximum(most, np.float32(1e-9)), out=near)
+    least = overlaps(row_x, key_x, row_y, key_y, each, (len(x.nodes), len(y.nodes)))
+    most = x.total[:, None].astype(np.float32) + y.total[None, :].astype(np.float32) - least
+    near = least / np.maximum(most, np.float32(1e-9))
     apart = x.labels[:, None] != y.labels[None, :]
     found = apart & (near >= threshold + MARGIN)
     for i, j in np.argwhere(apart & ~found & (near >= threshold - MARGIN)).tolist():
-        found[i, j] = similarity(*x.features(i), *y.features(j)) >= threshold
+        found[i, j] = jaccard(*x.features(i), *y.features(j)) >= threshold
     return found
 
 
@@ -417,7 +403,7 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool = False, prior: int = PRIOR) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text): class_id is the least doc_id of its class.
 
     With by_row, (doc_id, row, label) of every row with a text, where ids may repeat: row is ``row_key`` of the text, and
@@ -426,7 +412,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n, sketch = document_frequency(docs)
-    idf = spark.sparkContext.broadcast(idf_table(n, sketch))
+    idf = spark.sparkContext.broadcast(idf_table(n, sketch, prior))
     own_row = row_key(F.col("text")) if by_row else F.lit(None).cast("long")
     signed = docs.filter(F.col("text").isNotNull()).withColumn("row", own_row).mapInArrow(lean(_sign(idf, _worker_sampler)), _SIGNED)
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
@@ -482,7 +468,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, press = bits.value, zstandard.ZstdCompressor(3)
         for part in slices(batches, "text"):
-            _, _, _, own = _features(part.column("text"))
+            own = word_keys(part.column("text"))
             at = (own[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
             rows = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             if len(rows):

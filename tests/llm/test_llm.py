@@ -68,6 +68,21 @@ def test_pareto_inclusion_follows_weights(spark):
     assert got[0] == pytest.approx(0.2, abs=0.04) and got[1] == pytest.approx(0.6, abs=0.04)
 
 
+def test_longer_documents_are_likelier(spark):
+    rng = random.Random(21)
+    sizes = {i: rng.choice([1, 10, 100, 1000]) for i in range(4000)}
+    df = docs(spark, [(i, "w " * n, "en", "a") for i, n in sizes.items()] + [(9000, None, "en", "a"), (9001, "", "en", "a")])
+    copies = {r["id"]: r["copies"] for r in mixing.mix(df, weights=(1,), share_percent=60).collect()}
+    total = sum(sizes.values())
+    rate = 0.6 * total / sum(n * len(f"{n:b}") for n in sizes.values())
+    for n in (1, 10, 100, 1000):
+        own = [copies[i] for i, size in sizes.items() if size == n]
+        assert np.mean(own) == pytest.approx(rate * len(f"{n:b}"), abs=0.05)
+    assert copies[9000] == copies[9001] == 0
+    # Where the target is twice the size, everything is taken twice.
+    assert {r["copies"] for r in mixing.mix(df.filter("doc_id < 9000"), weights=(1,), share_percent=200).collect()} == {2}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n in (1, 2, 63, 64, 65, 1000):
@@ -165,6 +180,51 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(set(got.values())) >= 0.95 * len({find(d) for d in parent})
 
 
+def test_near_duplicates_against_weighted_brute_force(spark):
+    """Links are the pairs whose weighted similarity, with exact document frequencies, reaches 0.8."""
+    rng = random.Random(14)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(rng.randint(30, 90))] for _ in range(12)]
+    common = [f"c{i}" for i in range(20)]
+    rows = [(0, " ".join(common), "en", "s"), (1, "Word " * 4 + "x", "en", "s"), (2, "word WORD word word\tx", "en", "s")]
+    for i in range(3, 400):
+        words = list(rng.choice(base)) + (common if rng.random() < 0.7 else []) + ["again and again we say it"] * rng.choice([0, 0, 4])
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 8])):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words), "en", "s"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows), prior=0).collect()}
+    shingles, seen = {}, Counter()
+    for d, t, *_ in rows:
+        words = t.lower().split()
+        shingles[d] = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+        seen.update(set(shingles[d]))
+    idf = {x: near_dedup.IDF_FLOOR + (1 - near_dedup.IDF_FLOOR) * min(1, math.log(len(rows) / n) / math.log(near_dedup.RARE)) for x, n in seen.items()}
+    total = {d: sum(n * idf[x] for x, n in c.items()) for d, c in shingles.items()}
+    sure, likely = {}, {}
+    found = links = 0
+    for parents in (sure, likely):
+        parents.update((d, d) for d in shingles)
+
+    def find(parents, x):
+        while parents[x] != x:
+            x = parents[x]
+        return x
+
+    for a in shingles:
+        for b in range(a + 1, len(rows)):
+            least = sum(min(n, shingles[b][x]) * idf[x] for x, n in shingles[a].items() if x in shingles[b])
+            near = least / (total[a] + total[b] - least)
+            if near >= 0.805:
+                links += 1
+                found += got[a] == got[b]
+            for parents, least_near in ((sure, 0.805), (likely, 0.795)):
+                if near >= least_near:
+                    parents[max(find(parents, a), find(parents, b))] = min(find(parents, a), find(parents, b))
+    assert links > 200 and found >= 0.99 * links
+    assert all(find(likely, a) == find(likely, c) for a, c in got.items())
+    assert len({find(sure, d) for d in sure}) * 1.02 >= len(set(got.values())) >= len({find(likely, d) for d in likely})
+    assert got[2] == 1
+
+
 def test_near_duplicates_inside_hot_buckets(spark):
     """Two loose members of a template group that only share hot buckets, and are no one's centre, are still a class."""
     rng = random.Random(8)
@@ -192,7 +252,7 @@ def test_tile_similarities_are_exact():
         found = near_dedup._similar(tile, tile, threshold)
         for i in range(len(texts)):
             for j in range(len(texts)):
-                assert found[i, j] == (i != j and near_dedup.similarity(*tile.features(i), *tile.features(j)) >= threshold)
+                assert found[i, j] == (i != j and near_dedup.jaccard(*tile.features(i), *tile.features(j)) >= threshold)
 
 
 def test_sampler_agrees_as_often_as_similar():
