@@ -19,15 +19,23 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single
+    machine, and an error on a cluster, whose executors don't see each other's disks."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", known)
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def sheltered(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """df's columns under names that clash with none of the operators', and those columns under their names again."""
+    return [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(df.columns)], [F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
@@ -66,6 +74,7 @@ def trim() -> None:
     import ctypes
     import gc
 
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

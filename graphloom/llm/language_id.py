@@ -158,20 +158,18 @@ def train(docs: DataFrame, folds: int = FOLDS, rows: int = SAMPLE_ROWS, most_byt
     return Model(samples, order) if samples else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; only the text decides."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score; only the column text decides."""
     spark = docs.sparkSession
     small_batches(spark)
-    taken = {"lang_pred", "score", "_text"}
-    if clash := taken & set(docs.columns):
-        docs = docs.drop(*clash)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "_text"):
-            texts = part.column("_text")
+        for part in slices(batches, text):
+            texts = part.column(text)
             n = part.num_rows
             known = np.array([t is not None and bool(_LETTER.search(t)) for t in texts.to_pylist()], bool)
             langs, scores = np.full(n, "und", object), np.zeros(n)
@@ -181,13 +179,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
                 langs[known] = np.array(model.langs, object)[best[known]]
                 scores[known] = share[known]
-            kept = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.withColumn("_text", F.col("text")).mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def has_letter(text: Column) -> Column:

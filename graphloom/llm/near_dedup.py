@@ -199,9 +199,9 @@ def jaccard(runs_a: np.ndarray, w_a: np.ndarray, runs_b: np.ndarray, w_b: np.nda
 _SIGNED = "doc_id long, row long, key_a long, key_b long, bands array<long>, samples array<int>"
 
 
-def _sign(idf, sampler):
+def _sign(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, draw = idf.value, sampler()
+        table, draw = idf.value, Sampler()
         for part in slices(batches, "text"):
             runs, counts, at = _features(part.column("text"))
             keys = word_keys(part.column("text"))
@@ -217,15 +217,6 @@ def _sign(idf, sampler):
     return run
 
 
-_sampler: list[Sampler] = []
-
-
-def _worker_sampler() -> Sampler:
-    if not _sampler:
-        _sampler.append(Sampler())
-    return _sampler[0]
-
-
 def _agree(a: Column, b: Column) -> Column:
     """How many samples two rows share."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
@@ -414,7 +405,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool
     n, sketch = document_frequency(docs)
     idf = spark.sparkContext.broadcast(idf_table(n, sketch, prior))
     own_row = row_key(F.col("text")) if by_row else F.lit(None).cast("long")
-    signed = docs.filter(F.col("text").isNotNull()).withColumn("row", own_row).mapInArrow(lean(_sign(idf, _worker_sampler)), _SIGNED)
+    signed = docs.filter(F.col("text").isNotNull()).withColumn("row", own_row).mapInArrow(lean(_sign(idf)), _SIGNED)
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     # One row stands for all texts with the same words.
     nodes = stored(signed.groupBy("key_a", "key_b").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")
@@ -448,11 +439,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, by_row: bool
         unstore(likely)
         return out
 
-    links = verified(stored(within.unionByName(starred(large, 0)).distinct(), "candidates"), "links")
+    candidates = stored(within.unionByName(starred(large, 0)).distinct(), "candidates")
+    links = verified(candidates, "links")
     labels = components(links)
     labels = joined(labels, _crossing(large, labels, texts, idf, threshold))
     classed = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key_a", "key_b", "least", F.coalesce("label", "node").alias("label"))
     classed = stored(classed, "classes")
+    for done in (nodes, own, members, texts, candidates, links):
+        unstore(done)
     if by_row:
         return signed.select("doc_id", "row", "key_a", "key_b").join(classed.select("key_a", "key_b", "label"), ["key_a", "key_b"]).select("doc_id", "row", "label")
     least = classed.groupBy("label").agg(F.min("least").alias("class_id"))

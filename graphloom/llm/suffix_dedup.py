@@ -16,9 +16,9 @@ bytes, matches stay within a document, and all strings are judged on the input.
    equal strings decides which are covered.
 5. Covered spans meet their texts; documents without any (by a fixed-size filter) aren't moved.
 
-Null text: empty. Null id: after all others. Equal ids: neither is earlier. Repeated rows: same as equal ids. Texts
-under WINDOW bytes lose nothing. Very long texts are cut into overlapping pieces for step 2 and 3. Empty table: empty
-result.
+Null text: empty. Null id: after all others. Ties (equal ids): neither is earlier. Repeated rows: same as equal ids.
+Texts under WINDOW bytes lose nothing. Very long texts are cut into overlapping pieces for step 2 and 3. Empty table:
+empty result. Extra columns: not read, unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -452,27 +452,32 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpress = zstandard.ZstdDecompressor()
-    for part in (x for y in slices(batches, "text") for x in slices(iter([y]), "packed")):
-        rest = [part.schema.names.index(c) for c in part.schema.names if c not in ("text", "packed", "spans", "copy")]
-        rows = []
-        for text, packed, spans, copy in zip(*(part.column(c).to_pylist() for c in ("text", "packed", "spans", "copy")), strict=True):
-            data = (text or "").encode() if packed is None else unpress.decompress(packed)
-            if copy and len(data) >= WINDOW:
-                spans = [{"start": 0, "end": len(data)}]
-            kept, n_removed, n_spans = kept_bytes(data, [(s["start"], s["end"]) for s in spans or ()])
-            rows.append((len(data), n_removed, n_spans, kept))
-        sizes = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]]
-        kept = pa.array([r[3] for r in rows], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *sizes, pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows]), kept], [*(part.schema.names[i] for i in rest), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False) -> DataFrame:
-    """(doc_id, *carry, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of docs (doc_id, text)."""
+def _finish(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for part in (x for y in slices(batches, "text") for x in slices(iter([y]), "packed")):
+            rest = [part.schema.names.index(c) for c in part.schema.names if c not in ("text", "packed", "spans", "copy")]
+            rows = []
+            for text, packed, spans, copy in zip(*(part.column(c).to_pylist() for c in ("text", "packed", "spans", "copy")), strict=True):
+                data = (text or "").encode() if packed is None else unpress.decompress(packed)
+                if copy and len(data) >= WINDOW:
+                    spans = [{"start": 0, "end": len(data)}]
+                kept, n_removed, n_spans = kept_bytes(data, [(s["start"], s["end"]) for s in spans or ()])
+                rows.append((len(data), n_removed, n_spans, kept))
+            sizes = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]]
+            kept = pa.array([r[3].decode("utf-8", "ignore") for r in rows], pa.string()) if as_text else pa.array([r[3] for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *sizes, pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows]), kept], [*(part.schema.names[i] for i in rest), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
+
+
+def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: str = "") -> DataFrame:
+    """(doc_id, *carry, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of docs (doc_id, text).
+
+    with_kept: "bytes" or "text" (without characters that were cut in two)."""
     spark = docs.sparkSession
     small_batches(spark)
-    digest = F.md5(F.col("text"))
+    digest = F.sha2(F.col("text"), 256)
     half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c_{c}") for c in carry], F.coalesce("text", F.lit("")).alias("text")).withColumns({"d": F.coalesce("doc_id", F.lit(LAST)), "rk": F.xxhash64("doc_id", "text"), "ka": half(1), "kb": half(17)})
     own = [f"c_{c}" for c in carry]
@@ -524,9 +529,9 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: bool = False)
         schema = schema.add(c, kinds[c])
     for c in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(c, LongType())
-    schema = schema.add("kept_sha256", StringType()).add("kept", BinaryType())
-    out = done.mapInArrow(lean(_finish), schema)
-    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept)
+    schema = schema.add("kept_sha256", StringType()).add("kept", StringType() if with_kept == "text" else BinaryType())
+    out = done.mapInArrow(lean(_finish(with_kept == "text")), schema)
+    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry], "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * bool(with_kept))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
