@@ -60,10 +60,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def lean(function):
-    """function over batches, after which the worker gives freed memory back (it stays alive for later tasks)."""
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What ``make`` returns, made once in a worker and held while its tasks are ``lean`` ones that keep the name."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def forget(keeps: str) -> None:
+    """Drop what the worker holds unless it is this."""
+    if keeps not in _held:
+        _held.clear()
+
+
+def lean(function, keeps: str = ""):
+    """function over batches, after which the worker gives freed memory back (it stays alive for later tasks). What tasks of
+    other operators have left in the worker goes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from function(batches)
         trim()
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import lean, slices, small_batches, stored
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -266,7 +266,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _tas
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, task = Encoder(path), Counter(), TaskContext.get().partitionId()
+        enc, seen, task = encoder(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
         for part in slices(batches, "text"):
             rows = []
@@ -285,7 +285,7 @@ def _cut(path: str, end_id: int, capacity: int):
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its task; stored, so that ranks stay."""
     small_batches(docs.sparkSession)
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_cut(tokenizer_path, end_id, capacity)), _PIECES), "pieces")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_cut(tokenizer_path, end_id, capacity), tokenizer_path), _PIECES), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> DataFrame:

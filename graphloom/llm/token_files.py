@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import lean, row_order, slices, small_batches, stored
-from .tokens import Encoder
+from .tokens import encoder
 
 SEGMENT_TOKENS = 1 << 20
 PART_ROWS = 2000
@@ -93,7 +93,7 @@ _ROWS = "doc_id long, part int, first long, n_tokens long, ids_crc32 long"
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, press = Encoder(path), zstandard.ZstdCompressor(1)
+        enc, press = encoder(path), zstandard.ZstdCompressor(1)
         end = np.array([end_id], enc.dtype).tobytes()
         for part in slices(batches, "text"):
             ids = [x + end for x in enc.encode(["" if t is None else t for t in part.column("text").to_pylist()])]
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     """Encode docs (doc_id, text) and write the file; returns its segments as read back from the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
-    ids = row_order(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", PART_ROWS).mapInArrow(lean(_encode(tokenizer_path, end_id)), _IDS)
+    ids = row_order(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", PART_ROWS).mapInArrow(lean(_encode(tokenizer_path, end_id), tokenizer_path), _IDS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The hash of a part number spreads parts; within a partition they are in order, and so are their documents.
     ordered = ids.repartition(parts, "_part").sortWithinPartitions("_part", "doc_id", "ids")
