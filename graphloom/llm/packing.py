@@ -268,7 +268,7 @@ def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, task = encoder(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 22):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(["" if t is None else t for t in part.column("text").to_pylist()]), strict=True):
                 ids = np.frombuffer(ids + end, enc.dtype).astype("<u4")

@@ -95,7 +95,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(path), zstandard.ZstdCompressor(1)
         end = np.array([end_id], enc.dtype).tobytes()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 22):
             ids = [x + end for x in enc.encode(["" if t is None else t for t in part.column("text").to_pylist()])]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_part"), pa.array([enc.dtype.itemsize] * n, pa.int32()), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(map(press.compress, ids), pa.binary())], ["doc_id", "_part", "width", "n_tokens", "ids"])
