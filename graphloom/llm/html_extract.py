@@ -1,15 +1,18 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines (one per block of its markup). Within each host pages are ordered by URL path; each page
-is paired with the neighbour whose path has the longer prefix in common with its own (ties: the one before). The two
-pages' lines are aligned by a longest common subsequence, and the lines they share are template: they are deleted,
-unless they stand inside the page's article or main element, which marks them as its own content (pages that repeat
-an article keep it). Of the rest, lines in navigation, header, footer, aside, form, notice, advert or comment elements
-are dropped by their markup, and if the page has an article or main element, so is what lies outside it.
-
-Null or empty html: empty text. Null url: an empty host and path. A page alone on its host has no partner and loses no
-shared lines. Repeated rows: each is a page. Broken markup: unclosed elements end with their parent; an unclosed script,
-style or comment ends with the page. Empty table: empty result. Extra columns don't matter.
+is paired with the neighbour whose path has the longer prefix in common with its own (ties: the one before). A copy, a
+page with the same lines, tells nothing, so the nearest page that differs counts. The two pages' lines are aligned by a
+longest common subsequence, and the lines they share are template: they are deleted, unless they stand inside the page's
+article or main element, which marks them as its own content (articles share sentences that belong to each). Of the
+rest, what stands in navigation, header, footer, aside, form, notice, advert or comment elements is dropped by its
+markup, within a line too, and if the page has an article or main element, so is what lies outside it.
+
+Null or empty html: empty text. Null url: an empty host and path. Ties (equal paths): by page_id. A page alone on its
+host, or among copies only, has no partner and loses no shared lines. Repeated rows: each is a page. Broken markup:
+unclosed elements end with their parent; an unclosed script, style or comment ends with the page; a quote that doesn't
+follow an equals sign is a plain character of its tag. Very long pages: whole; an alignment of many lines is halved until
+it fits. Empty table: empty result. Extra columns: not read.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import MOST_PARTS, slices, small_batches, span_hashes, utf8
+from ._common import MOST_PARTS, lean, slices, small_batches, span_hashes, utf8
 
 PART_ROWS = 500
 #: Splitters come from a sample of so many keys a part.
 SAMPLE_KEYS = 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?/][^>]*>", re.S | re.I)
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav footer aside form dialog menu button head fieldset".split())
@@ -38,11 +41,19 @@ _CHROME = frozenset("nav footer aside form dialog menu button head fieldset".spl
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _CLOSES_P = _BLOCKS - {"br", "body", "html", "head"}
 _WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that may stand beside one of those in the name of an element.
+_PARTS = frozenset("area articles bar block bottom box button buttons container content fixed form global header icon icons inner item items left link links list main outer page panel parts post posts primary right secondary section site slot stories text top unit wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _INSIDE, _CHROME_LINE, _BODY = 2, 0, 1
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class or id names page furniture: one of _WORDS, and beside it only such words, parts and numbers."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return not _WORDS.isdisjoint(words) and all(w in _WORDS or w in _PARTS for w in words)
+
+
 def kind_of(tag: str, attributes: str, inside: bool) -> int | None:
     """What an element makes of its lines: 0 drop, 2 content, None as its parent."""
     if tag in _CHROME or tag == "header" and not inside:
@@ -51,7 +62,7 @@ def kind_of(tag: str, attributes: str, inside: bool) -> int | None:
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name in ("class", "id") and _WORDS & set(re.split(r"[^a-z0-9]+", value)) or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            if name in ("class", "id") and any(map(_is_furniture, value.split())) or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return _CHROME_LINE
             if name == "role":
                 role = value
@@ -66,7 +77,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
     kinds: list[int] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
-    kind = _BODY
+    kind = held_kind = _BODY
 
     def flush() -> None:
         if held:
@@ -74,13 +85,23 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             held.clear()
             if line:
                 lines.append(line)
-                kinds.append(kind)
+                kinds.append(held_kind)
+
+    def hold(text: str) -> None:
+        """Add text to the line. Furniture within a line of another kind goes, and the line goes on after it."""
+        nonlocal held_kind
+        if held and (held_kind == _CHROME_LINE) != (kind == _CHROME_LINE) and "".join(held).strip():
+            if kind == _CHROME_LINE:
+                return
+            flush()
+        if not held or not "".join(held).strip():
+            held_kind = kind
+        held.append(html.unescape(text) if "&" in text else text)
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            text = page[at : m.start()]
-            held.append(html.unescape(text) if "&" in text else text)
+            hold(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -119,7 +140,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             own = kind_of(tag, m[4], kind == _INSIDE)
             kind = kind if own is None else own
     if at < len(page):
-        held.append(html.unescape(page[at:]))
+        hold(page[at:])
     flush()
     return lines, kinds
 
@@ -231,47 +252,53 @@ def _common_prefix(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def partners(keys: list[tuple[str, str]], contents: list[bytes]) -> list[int | None]:
+    """Of pages in order, given as (host, path) and content, the place of each one's partner."""
+
+    def differing(order: list[int]) -> list[int | None]:
+        """The nearest page that differs, in the direction from which order comes."""
+        out: list[int | None] = [None] * len(keys)
+        for last, own in zip(order, order[1:], strict=False):
+            out[own] = last if contents[last] != contents[own] else out[last]
+        return out
+
+    places = list(range(len(keys)))
+    found = []
+    for own, near in zip(places, zip(differing(places), differing(places[::-1]), strict=True), strict=True):
+        host, path = keys[own]
+        sides = [(_common_prefix(keys[i][1], path), -k, i) for k, i in enumerate(near) if i is not None and keys[i][0] == host]
+        found.append(max(sides)[2] if sides else None)
+    return found
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of part and key. A page is done when the one after it is known."""
+    """Rows in order of part and key; a part, some PART_ROWS packed pages, is done at once."""
     unpress = zstandard.ZstdDecompressor()
-
-    def rows() -> Iterator[dict | None]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                yield from batch.slice(a, 200).to_pylist()
-        yield None
-
-    def host_path(r: dict) -> tuple[str, str]:
-        host, path, *_ = r["_key"].split("\x01")
-        return host, path
-
-    def partner(before: dict | None, own: dict, after: dict | None) -> dict | None:
-        host, path = host_path(own)
-        best, longest = None, -1
-        for r in (before, after):
-            if r is not None and r["_part"] == own["_part"] and host_path(r)[0] == host and (n := _common_prefix(host_path(r)[1], path)) > longest:
-                best, longest = r, n
-        return best
-
-    out: list[tuple] = []
     names = ["page_id", "url", "text", "n_chars"]
-    done = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
-    before = own = None
-    for after in rows():
-        if own is not None and own["_own"]:
-            text = unpress.decompress(own["lines"]).decode()
-            lines, kinds = text.split("\n") if text else [], list(own["kinds"])
-            other = partner(before, own, after)
-            mine = np.frombuffer(own["hashes"], np.uint64).tolist()
-            shared = {i for i, _ in lcs_pairs(mine, np.frombuffer(other["hashes"], np.uint64).tolist())} if other is not None else set()
-            text = main_text(lines, kinds, shared)
-            out.append((own["page_id"], own["url"], text, len(text)))
-            if len(out) == 500:
-                yield done()
-                out.clear()
-        before, own = own, after
-    if out:
-        yield done()
+
+    def done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        near = partners([tuple(r["_key"].split("\x01")[:2]) for r in rows], [r["hashes"] for r in rows])
+        out: list[tuple] = []
+        for own, other in zip(rows, near, strict=True):
+            if own["_own"]:
+                text = unpress.decompress(own["lines"]).decode()
+                lines, kinds = text.split("\n") if text else [], list(own["kinds"])
+                mine = np.frombuffer(own["hashes"], np.uint64).tolist()
+                shared = {i for i, _ in lcs_pairs(mine, np.frombuffer(rows[other]["hashes"], np.uint64).tolist())} if other is not None else set()
+                text = main_text(lines, kinds, shared)
+                out.append((own["page_id"], own["url"], text, len(text)))
+        for a in range(0, len(out), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 500], strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
+
+    part: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if part and part[0]["_part"] != r["_part"]:
+                yield from done(part)
+                part = []
+            part.append(r)
+    if part:
+        yield from done(part)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -301,8 +328,8 @@ def extract(pages: DataFrame) -> DataFrame:
     visiting = keyed.join(F.broadcast(guests), F.col("_key") == F.col("_k")).select("page_id", "url", "html", "_key", F.col("_to").alias("_part"), F.lit(False).alias("_own"))
     rows = parted.withColumn("_own", F.lit(True)).unionByName(visiting).select("page_id", "url", "html", "_part", "_key", "_own")
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(_parse, _PARSED).repartition(n_tasks, "_part").sortWithinPartitions("_part", "_key", "hashes")
-    return placed.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    placed = rows.mapInArrow(lean(_parse), _PARSED).repartition(n_tasks, "_part").sortWithinPartitions("_part", "_key", "hashes")
+    return placed.mapInArrow(lean(_difference), "page_id long, url string, text string, n_chars long")
 
 
 def _found(cuts: np.ndarray, keys):

@@ -154,6 +154,74 @@ def test_page_text(spark):
     assert got == {1: "A & B\nx y\nz", 2: "Own text 1", 3: "Own text 2", 4: ""}
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>text <span class=ad>Buy</span>more</p></article>", "text more"),
+        ("<article>x<br><a class='share'>Share</a><button>Subscribe</button>y</article>", "x\ny"),
+        ("<article>a <span class=ad><div>Buy</div></span> b</article>", "a\nb"),
+        ("<article><div class='notice-board'>Real</div><div class='cookie-banner x'>No</div><div id='ad-slot-3'>No</div></article>", "Real"),
+        ("<article><p title='it's'>One</p><p title=\"a>b\" x=y>Two</p><p a='>Three</article>", "One\nTwo\nThree"),
+        ("<article><p>1 &lt; 2 &amp;amp; 3</p>\n<p>\t</p><ul><li>a<li>b</ul></article>", "1 < 2 &amp; 3\na\nb"),
+        ("<main><header>Head</header><h1>T</h1><!-- c --><p>b<script>var x='</p>'</script></main>tail", "Head\nT\nb"),
+    ],
+)
+def test_lines_of_a_page(page, text):
+    assert html_extract.main_text(*html_extract.lines_of(page), set()) == text
+
+
+def test_differencing_against_brute_force(spark):
+    """Pairing, alignment and deletion on pages with and without an article element, copies, nulls and repeated rows."""
+    rng = random.Random(31)
+    rows, own = [], {}
+    for i in range(260):
+        host = rng.choice(["a.org", "b.org", "c.org", "alone.org"]) if i else "one.org"
+        path = "/" + "/".join(rng.choice(["x", "y", "zz"]) for _ in range(rng.randint(1, 3))) + f"/{rng.randint(0, 60)}"
+        template = [f"{host} line {k}" for k in range(8) if rng.random() < 0.7]
+        body = [f"own {i} {k}" for k in range(rng.randint(0, 4))]
+        cut = rng.randint(0, len(template))
+        kind = rng.choice(["plain", "plain", "article", "empty", "copy"])
+        if kind == "copy" and rows:
+            own[i] = (host, path, *own[rng.choice(list(own))][2:])
+        elif kind == "empty":
+            own[i] = (host, path, [], [])
+        else:
+            own[i] = (host, path, [*template[:cut], *body, *template[cut:]], body if kind == "article" else None)
+        _, _, lines, article = own[i]
+        html = "".join(f"<div>{x}</div>" for x in lines) if article is None else "".join(["<nav>menu</nav>", *(f"<p>{x}</p>" for x in lines if x not in article), "<article>", *(f"<p>{x}</p>" for x in article), "</article>"])
+        rows.append((i, f"http://{host}{path}", html))
+    rows += [(900, None, "<p>x</p>"), (901, None, None), (0, rows[0][1], rows[0][2])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    pages = {i: (h, p, *html_extract.lines_of(rows[i][2])) for i, (h, p, *_) in own.items()}
+    order = sorted(pages, key=lambda i: (*pages[i][:2], f"{i:020}"))
+    for at, i in enumerate(order):
+        host, path, lines, kinds = pages[i]
+        best = None
+        for side in (reversed(order[:at]), order[at + 1 :]):
+            j = next((j for j in side if pages[j][2] != lines), None)
+            if j is not None and pages[j][0] == host:
+                n = next((k for k, (x, y) in enumerate(zip(pages[j][1], path, strict=False)) if x != y), min(len(path), len(pages[j][1])))
+                if best is None or n > best[0]:
+                    best = (n, j)
+        other = pages[best[1]][2] if best else []
+        table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+        for a, x in enumerate(lines):
+            for b, y in enumerate(other):
+                table[a + 1][b + 1] = table[a][b] + 1 if x == y else max(table[a][b + 1], table[a + 1][b])
+        a, b, shared = len(lines), len(other), set()
+        while a and b:
+            if lines[a - 1] == other[b - 1]:
+                a, b = a - 1, b - 1
+                shared.add(a)
+            elif table[a - 1][b] >= table[a][b - 1]:
+                a -= 1
+            else:
+                b -= 1
+        want = [x for k, x in enumerate(lines) if (kinds[k] == 2 if 2 in kinds else kinds[k] and k not in shared)]
+        assert got[i] == "\n".join(want), (i, host)
+    assert got[900] == "x" and got[901] == ""
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(40, 120))] for _ in range(60)]
