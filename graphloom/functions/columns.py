@@ -11,10 +11,14 @@ DISPLAY_PRIORITY = {"Calls": 0, "Instantiates": 1, "Decorates": 2, "References":
 EXTENSIONS = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"]
 NOISE_DIRS = ["node_modules", "dist", "build", "out", "coverage", ".git", ".next", ".nuxt", ".turbo", ".cache", "tmp", "temp", "vendor", "allure-reports", "allure-results", ".graphloom", "target", "__pycache__", ".venv", "venv"]
 ENTRY_FILES = ["main.ts", "main.js", "main.mjs", "main.cjs", "index.ts", "index.js", "bootstrap.ts", "bootstrap.js", "server.ts", "server.js"]
-KNOWN_SOURCES = ["vue", "svelte", "astro", "rs", "py", "go", "java", "kt", "rb", "php", "cs", "swift", "c", "cc", "cpp", "h", "hpp"]
+KNOWN_SOURCES = ["vue", "svelte", "astro", "rs", "py", "go", "java", "kt", "rb", "php", "cs", "swift", "c", "cc", "cpp", "h", "hpp", "scala", "ex", "exs", "dart", "lua", "zig"]
 TYPE_KINDS = ["interface_declaration", "type_alias_declaration"]
 RISKS = ["high", "medium", "low"]
 
+#: What separates the tokens of an identifier, and the edges between them; Java and ``regex`` read both alike.
+BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
+TOKEN_EDGE = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=[0-9])(?=[^0-9 ])|(?<=[^0-9 ])(?=[0-9])"
+
 _MARKED = r"(^|/)(apps|libs|packages)/([^/]+)"
 
 
@@ -88,8 +92,7 @@ def risk_score(depth: Column, in_degree: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Distinct lower-case parts of an identifier: split at non-alphanumerics, case changes, acronyms and digits."""
-    spaced = F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")
-    parted = F.regexp_replace(spaced, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=[0-9])(?=[^0-9 ])|(?<=[^0-9 ])(?=[0-9])", " ")
+    parted = F.regexp_replace(F.regexp_replace(text, BETWEEN_TOKENS, " "), TOKEN_EDGE, " ")
     return F.array_distinct(F.filter(F.split(F.lower(parted), " +"), lambda x: x != ""))
 
 
@@ -104,3 +107,13 @@ def glob_matches(value: Column, pattern: str) -> Column:
     import re
 
     return value.rlike("^" + ".*".join(re.escape(x) for x in pattern.split("*")) + "$")
+
+
+def unquoted(text: Column) -> Column:
+    """A string literal without the quotes, single, double or back, that stand at both of its ends."""
+    return F.regexp_replace(text, r"(?s)^(['\"`])(.*)\1$", "$2")
+
+
+def shard_of(path: Column, shards: int) -> Column:
+    """The shard that holds a path, the same on every machine."""
+    return F.pmod(F.xxhash64(path), F.lit(shards)).cast("int")

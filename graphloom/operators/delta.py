@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,10 @@ def retained(generations: DataFrame, keep: int = 3) -> DataFrame:
 
 
 class Generations:
-    """Immutable snapshots of tables in folders, and a pointer to the current one.
+    """Immutable snapshots of tables in folders, and pointers to them.
 
-    A snapshot is written under a name of its own and the pointer swapped last, so a reader sees a whole one."""
+    A snapshot is written under a name of its own; then a pointer with the next number is renamed into place, whole or not
+    at all. The highest pointer names the current snapshot, so a reader always finds one, and a crash loses none."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -70,14 +73,23 @@ class Generations:
     def publish(self, name: str, tables: dict[str, DataFrame]) -> None:
         for table, df in tables.items():
             df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/{name}/{table}")
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_next")
-        self.fs.delete(self._path("_current"), True)
-        self.fs.rename(self._path("_next"), self._path("_current"))
+        pointers = self._pointers()
+        number = pointers[-1] + 1 if pointers else 1
+        temporary = f"_next-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.text(f"{self.root}/{temporary}")
+        # A rename onto a folder that is there fails or nests, so a pointer that another writer took is tried again.
+        while self.fs.exists(self._path(f"_current-{number:012}")) or not self.fs.rename(self._path(temporary), self._path(f"_current-{number:012}")):
+            number += 1
+        for old in pointers[:-1]:
+            self.fs.delete(self._path(f"_current-{old:012}"), True)
+
+    def _pointers(self) -> list[int]:
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path(""))]
+        return sorted(int(x[9:]) for x in names if x.startswith("_current-"))
 
     def current(self) -> str | None:
-        if not self.fs.exists(self._path("_current")):
-            return None
-        return self.spark.read.text(f"{self.root}/_current").first()[0]
+        pointers = self._pointers()
+        return self.spark.read.text(f"{self.root}/_current-{pointers[-1]:012}").first()[0] if pointers else None
 
     def read(self, table: str, name: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name or self.current()}/{table}")

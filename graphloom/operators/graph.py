@@ -1,25 +1,26 @@
 """Graph operators over edges (src, dst, kind, ...): closures, degrees, sites, components, orders, hubs and orphans.
 
-Iterations are level-synchronous; each level is a distinct join whose result is written to the shared folder. Nothing
-but counts reaches the driver.
+Iterations are level-synchronous; each level is a distinct join whose result is written once, to a folder of its own, by
+one job that also gives its size. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_priority, file_of, is_entry_point, package_of, risk, risk_score
-from ..plans.store import stored
+from ..plans.store import measured, stored
 
 
 @dataclass
 class Limits:
     """Budgets of a walk; None is unlimited. A level is admitted whole or not at all, in which case it is cut by name."""
 
-    depth: int | None = 32
+    depth: int | None = None
     nodes: int | None = None
     edges: int | None = None
     name_bytes: int | None = None
@@ -39,39 +40,45 @@ def adjacency(edges: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def walk(adj: DataFrame, starts: DataFrame, limits: Limits | None = None) -> Walk:
-    """Breadth-first closure of starts (node) with least depths."""
+    """Breadth-first closure of starts (node) with least depths. adj is read once a level: pass a stored table.
+
+    The levels seen are immutable folders; a level is what one more step reaches and none of them holds."""
     limits = limits or Limits()
-    adj = stored(adj)
-    seen = stored(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    level, depth, total, reason, spent = seen.select("node"), 0, seen.count(), None, 0
-    while True:
-        step = adj.join(level.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
-        if limits.edges is not None:
-            spent += step.count()
+    bytes_of = F.coalesce(F.sum(F.octet_length("node")), F.lit(0)).alias("bytes")
+    count = F.count(F.lit(1)).alias("n")
+    first, size = measured(starts.select("node").distinct().withColumn("depth", F.lit(0)), count)
+    levels, depth, total, reason, spent, named = [first], 0, size["n"], None, 0, 0
+    while total:
+        step = adj.join(levels[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"))
+        tried = Observation() if limits.edges is not None else None
+        if tried is not None:
+            step = step.observe(tried, count)
+        seen = reduce(DataFrame.union, levels).select("node")
+        fresh, size = measured(step.distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth + 1)), count, bytes_of)
+        if tried is not None:
+            spent += tried.get["n"]
             if spent >= limits.edges:
                 reason = "edges"
                 break
-        fresh = stored(step.distinct().join(seen, "node", "left_anti"))
-        n = fresh.count()
-        if not n:
+        if not size["n"]:
             break
         if limits.depth is not None and depth >= limits.depth:
             reason = "depth"
             break
         depth += 1
+        n = size["n"]
         if limits.nodes is not None and total + n > limits.nodes:
-            fresh, reason = fresh.orderBy("node").limit(max(0, limits.nodes - total)), "nodes"
-        if limits.name_bytes is not None:
-            size = seen.filter("depth > 0").agg(F.coalesce(F.sum(F.octet_length("node")), F.lit(0))).first()[0] + fresh.agg(F.coalesce(F.sum(F.octet_length("node")), F.lit(0))).first()[0]
-            if size > limits.name_bytes:
-                reason = "bytes"
-                break
-        seen = stored(seen.unionByName(fresh.withColumn("depth", F.lit(depth))))
+            n, reason = max(0, limits.nodes - total), "nodes"
+            fresh = stored(fresh.orderBy("node").limit(n))
+        named += size["bytes"]
+        if limits.name_bytes is not None and named > limits.name_bytes:
+            reason = "bytes"
+            break
+        levels.append(fresh)
         total += n
-        level = fresh.select("node")
         if reason:
             break
-    return Walk(seen, reason is not None, reason, seen.count() if reason == "nodes" else total)
+    return Walk(reduce(DataFrame.union, levels), reason is not None, reason, total)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -83,50 +90,76 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def impact(edges: DataFrame, starts: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(symbol, depth, in_degree, risk, score) of everything that depends on the starts."""
-    reached = walk(adjacency(edges, reverse=True), starts, limits).nodes.filter("depth > 0")
-    into = edges.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("in_degree"))
-    joined = reached.join(into, reached.node == into.dst, "left").select(F.col("node").alias("symbol"), "depth", F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
-    return joined.withColumns({"risk": risk(F.col("depth"), F.col("in_degree")), "score": risk_score(F.col("depth"), F.col("in_degree"))})
+    return impact_within(edges, starts, limits)[0]
+
+
+def impact_within(edges: DataFrame, starts: DataFrame, limits: Limits | None = None) -> tuple[DataFrame, Walk]:
+    """``impact`` and its walk, which tells whether a limit cut it."""
+    adj = stored(adjacency(edges, reverse=True))
+    found = walk(adj, starts, limits)
+    into = adj.groupBy("src").agg(F.count("*").alias("in_degree"))
+    reached = found.nodes.filter("depth > 0")
+    joined = reached.join(into, reached.node == into.src, "left").select(F.col("node").alias("symbol"), "depth", F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
+    return joined.withColumns({"risk": risk(F.col("depth"), F.col("in_degree")), "score": risk_score(F.col("depth"), F.col("in_degree"))}), found
 
 
 def diff_impact(edges: DataFrame, changed: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """Per symbol the worst risk over all changed nodes (node) that the graph has; depth and score go with it.
+    """Per symbol the worst risk over all changed nodes (node) that the graph has; depth and score go with it, of the least
+    such origin.
 
-    One walk carries all origins: level by level (origin, node) pairs, so origins don't cost a job each."""
-    limits = limits or Limits(depth=16)
+    One walk serves all origins. A node's risk falls with depth only from 1 to 2 and from 3 to 4, so it needs the least
+    origins within 1, 3 and any number of steps. Each step hands on a node's two least origins (two, as a node's own name
+    doesn't count for itself), which it got first by the shortest way."""
+    limits = limits or Limits()
     adj = stored(adjacency(edges, reverse=True))
-    known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    seen = stored(changed.select("node").distinct().join(known, "node", "left_semi").select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")))
-    level, depth = seen, 0
+    known = adj.select(F.col("src").alias("node")).union(adj.select("dst")).distinct()
+    state = stored(changed.select("node").distinct().join(known, "node", "left_semi").select("node", F.col("node").alias("origin"), F.lit(0).alias("depth")))
+    within, level, depth = {}, state, 0
+    least = F.row_number().over(Window.partitionBy("node").orderBy("origin"))
+    count = F.count(F.lit(1)).alias("n")
     while limits.depth is None or depth < limits.depth:
         depth += 1
-        fresh = level.join(adj.withColumnRenamed("src", "node"), "node").select("origin", F.col("dst").alias("node")).distinct()
-        level = stored(fresh.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        step = level.join(adj.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "origin").distinct().withColumn("depth", F.lit(depth))
+        both = state.union(step).groupBy("node", "origin").agg(F.min("depth").alias("depth"))
+        state, size = measured(both.withColumn("_at", least).filter("_at <= 2").drop("_at"), F.count_if(F.col("depth") == depth).alias("n"), count.alias("all"))
+        if not size["n"]:
             break
-        seen = stored(seen.unionByName(level))
-    into = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
-    rows = seen.filter("depth > 0").join(into, "node", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("long"))
-    rows = rows.withColumns({"risk": risk(F.col("depth"), F.col("in_degree")), "score": risk_score(F.col("depth"), F.col("in_degree"))})
-    rank = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).otherwise(2)
-    best = rows.groupBy("node").agg(F.min_by(F.struct("depth", "in_degree", "risk", "score"), F.struct(rank, F.col("origin"))).alias("b"))
-    return best.select(F.col("node").alias("symbol"), "b.depth", "b.in_degree", "b.risk", "b.score")
+        level = state.filter(F.col("depth") == depth)
+        if depth in (1, 3):
+            within[depth] = state
+    foreign = lambda df, name: df.filter("origin <> node").groupBy("node").agg(F.min(F.struct("origin", "depth")).alias(name))
+    rows = foreign(state, "_any")
+    for steps, name in ((1, "_near"), (3, "_mid")):
+        rows = rows.join(foreign(within.get(steps, state), name), "node", "left")
+    into = adj.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("in_degree"))
+    rows = rows.join(into, "node", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("long"))
+    near = lambda c, most: F.when(F.col(f"{c}.depth") <= most, F.col(f"{c}.depth"))
+    chosen = F.when(F.col("in_degree") > 10, F.col("_any.depth")).otherwise(F.coalesce(near("_near", 1), F.when(F.col("in_degree") < 2, near("_mid", 3)), F.col("_any.depth")))
+    rows = rows.withColumn("depth", chosen)
+    return rows.select(F.col("node").alias("symbol"), "depth", "in_degree", risk(F.col("depth"), F.col("in_degree")).alias("risk"), risk_score(F.col("depth"), F.col("in_degree")).alias("score"))
+
+
+def site_order() -> list[Column]:
+    return [display_priority(F.col("kind")).asc(), F.col("source_path").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("src").asc(), F.col("dst").asc()]
+
 
+def sites(edges: DataFrame, node: str, reverse: bool = True, after: int = 0, limit: int = 50) -> DataFrame:
+    """The relations at a node in display order from position after + 1, limit of them: position and total come with each.
 
-def sites(edges: DataFrame, node: str, reverse: bool = True) -> DataFrame:
-    """All relations at a node in display order: position (from 1) and total come with each."""
+    Only the first after + limit are ordered; the rest is counted where it is."""
     found = edges.filter(F.col("dst" if reverse else "src") == node)
-    order = [display_priority(F.col("kind")).asc(), F.col("source_path").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("src").asc(), F.col("dst").asc()]
-    return found.withColumns({"position": F.row_number().over(Window.orderBy(*order)), "total": F.count("*").over(Window.partitionBy())})
+    first = found.orderBy(*site_order()).limit(after + limit).withColumn("position", F.row_number().over(Window.orderBy(*site_order())))
+    return first.filter(F.col("position") > after).crossJoin(found.agg(F.count("*").alias("total")))
 
 
 def rollup_sites(found: DataFrame, group: Column, file: Column, top: int = 12) -> DataFrame:
     """Sites and distinct files per group, the top groups and ``(other)`` with the number of groups in it."""
     grouped = found.select(group.alias("prefix"), file.alias("file")).groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
-    ranked = grouped.withColumn("_at", F.row_number().over(Window.orderBy(F.col("n").desc(), "prefix")))
-    name = F.when(F.col("_at") <= top, F.col("prefix")).otherwise(F.lit("(other)"))
-    kept = ranked.select(name.alias("prefix"), "n", "files", F.when(F.col("_at") <= top, F.lit(False)).otherwise(F.lit(True)).alias("_other"))
-    return kept.groupBy("prefix", "_other").agg(F.sum("n").alias("n"), F.sum("files").alias("files"), F.count("*").alias("groups")).drop("_other")
+    grouped = stored(grouped)
+    first = grouped.orderBy(F.col("n").desc(), "prefix").limit(top)
+    rest = grouped.join(first.select(F.col("prefix").alias("_p")), F.col("prefix").eqNullSafe(F.col("_p")), "left_anti")
+    other = rest.agg(F.sum("n").alias("n"), F.sum("files").alias("files"), F.count("*").alias("groups")).filter("groups > 0")
+    return first.select("prefix", "n", "files", F.lit(1).cast("long").alias("groups")).unionByName(other.select(F.lit("(other)").alias("prefix"), "n", "files", "groups"))
 
 
 def collapse(edges: DataFrame, name, keep_loops: bool = True) -> DataFrame:
@@ -171,7 +204,7 @@ def strong_components(adj: DataFrame) -> DataFrame:
         own = colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
         inside = stored(adj.join(own[0], "src").join(own[1], "dst").filter("cs = cd").select("src", "dst"))
         roots = colour.filter("node = colour").select("node")
-        reached = walk(adjacency(inside, reverse=True), roots, Limits(depth=None)).nodes.select("node").join(colour, "node")
+        reached = walk(stored(adjacency(inside, reverse=True)), roots).nodes.select("node").join(colour, "node")
         found = stored(reached if found is None else found.unionByName(reached))
         adj = stored(adj.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if found is None:

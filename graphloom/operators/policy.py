@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EXTENSIONS, glob_matches
@@ -100,9 +100,13 @@ def coupling_findings(packages: DataFrame, policy: Boundaries) -> DataFrame:
 
 
 def report(findings: DataFrame, limit: int) -> DataFrame:
-    """The first findings in order, each with the total and the number of its code."""
-    counted = findings.withColumns({"total": F.count("*").over(Window.partitionBy()), "of_code": F.count("*").over(Window.partitionBy("code"))})
-    return counted.orderBy(*FINDING).limit(limit).withColumn("truncated", F.col("total") > limit)
+    """The first findings in order, each with the total and the number of its code.
+
+    Only the first ones are ordered; codes are few, so their counts are a small table."""
+    codes = findings.groupBy("code").agg(F.count("*").alias("of_code"))
+    total = codes.agg(F.coalesce(F.sum("of_code"), F.lit(0)).alias("total"))
+    first = findings.orderBy(*FINDING).limit(limit).join(codes, "code").crossJoin(total)
+    return first.select(*findings.columns, "total", "of_code", (F.col("total") > limit).alias("truncated"))
 
 
 def ci_report(components: DataFrame, findings: DataFrame, orphans: DataFrame, threshold: int = 2, strict: bool = False) -> DataFrame:

@@ -9,11 +9,22 @@ from ..functions.columns import EXTENSIONS, TYPE_KINDS, normalize_path
 from ..plans.store import stored
 
 
-def probe_paths(base: Column) -> Column:
-    """Candidate files for a module path, in the order they are tried."""
-    swapped = F.regexp_replace(base, r"\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$", "")
-    tries = [base, *[F.concat(base, F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat(swapped, F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS]]
-    return F.array_distinct(F.array(*tries))
+_KNOWN_EXTENSION = r"\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$"
+
+
+def probe_table(files: DataFrame) -> DataFrame:
+    """For each module path that some file answers: (key, exact, with_extension, index), the files that are tried for it.
+
+    Of files that differ only in a known extension the first in the order of extensions counts."""
+    extension = F.regexp_extract("path", _KNOWN_EXTENSION, 1)
+    stem = F.regexp_replace("path", _KNOWN_EXTENSION, "")
+    rank = F.array_position(F.array(*map(F.lit, EXTENSIONS)), extension)
+    none = F.lit(None).cast("string")
+    entry = lambda key, exact, file, index: F.struct(key.alias("key"), exact.alias("exact"), F.when(file.isNotNull(), F.struct(rank.alias("r"), file.alias("f"))).alias("file"), F.when(index.isNotNull(), F.struct(rank.alias("r"), index.alias("f"))).alias("index"))
+    path = F.col("path")
+    keys = F.array(entry(path, path, none, none), F.when(extension != "", entry(stem, none, path, none)), F.when((extension != "") & stem.rlike("(^|/)index$"), entry(F.regexp_replace(stem, "/?index$", ""), none, none, path)))
+    each = files.select("path").distinct().select(F.explode(F.array_compact(keys)).alias("e")).select("e.*")
+    return each.groupBy("key").agg(F.max("exact").alias("exact"), F.min("file")["f"].alias("with_extension"), F.min("index")["f"].alias("index"))
 
 
 def alias_targets(imports: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -39,13 +50,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     relative = F.col("specifier").startswith(".")
     rooted = F.concat(F.lit(f"{base_url}/"), "specifier") if base_url is not None else F.lit(None).cast("string")
     base = normalize_path(F.when(relative, F.concat(folder, "specifier")).otherwise(F.coalesce("module", rooted)))
-    tries = i.select("path", "specifier", F.posexplode_outer(probe_paths(base)).alias("_at", "_file"))
-    known = files.select(F.col("path").alias("_file"), F.lit(True).alias("_there")).distinct()
-    best = tries.join(known, "_file", "left").groupBy("path", "specifier").agg(F.min_by(F.when(F.col("_there"), F.col("_file")), F.when(F.col("_there"), F.col("_at"))).alias("_to"))
-    return best.select("path", "specifier", F.coalesce("_to", "specifier").alias("dst"), F.col("_to").isNotNull().alias("resolved"))
-
-
-def resolve_exports(exports: DataFrame, symbols: DataFrame, wanted: DataFrame, most_depth: int = 64) -> DataFrame:
+    known = probe_table(files)
+    asked = i.select("path", "specifier", base.alias("_base")).withColumn("_bare", F.regexp_replace("_base", _KNOWN_EXTENSION, ""))
+    named = known.withColumnsRenamed({c: f"_{c}" for c in known.columns})
+    found = asked.join(named, F.col("_base") == F.col("_key"), "left")
+    # A specifier with the extension of the emitted file stands for the source beside it.
+    swapped = known.select(F.col("key").alias("_key2"), F.col("with_extension").alias("_swapped"))
+    found = found.join(swapped, (F.col("_bare") == F.col("_key2")) & (F.col("_bare") != F.col("_base")), "left")
+    to = F.coalesce("_exact", "_with_extension", "_swapped", "_index")
+    return found.select("path", "specifier", F.coalesce(to, "specifier").alias("dst"), to.isNotNull().alias("resolved"))
+
+
+def resolve_exports(exports: DataFrame, symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """(file, name, id): the definitions behind names that files export, through chains of re-exports.
 
     exports: (file, exported, local, source) with exported ``*`` for a star and source null for local exports. wanted:
@@ -53,9 +69,7 @@ def resolve_exports(exports: DataFrame, symbols: DataFrame, wanted: DataFrame, m
     asked = wanted.select("file", "name").distinct().select(F.col("file").alias("ask_file"), F.col("name").alias("ask_name"), "file", "name")
     level, seen = stored(asked), None
     out = None
-    for _ in range(most_depth):
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
         seen = stored(level if seen is None else seen.unionByName(level))
         here = level.join(symbols.filter("exported").select(F.col("path").alias("file"), "name", "id"), ["file", "name"]).select("ask_file", "ask_name", "id")
         links = level.join(exports, "file").filter("exported = name or exported = '*'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import tokens_of
+from ..functions.columns import BETWEEN_TOKENS, TOKEN_EDGE, tokens_of
 
 #: Bits of the fields that a token stands in.
 FIELDS = {"name": 1, "qualified": 2, "path": 4, "kind": 8}
@@ -61,12 +61,11 @@ def postings(symbols: DataFrame) -> DataFrame:
 
 
 def query_tokens(query: str) -> list[str]:
-    """The query's distinct tokens of more than one byte."""
-    import re
+    """The query's distinct tokens of more than one byte, by the patterns of ``tokens_of``."""
+    import regex
 
-    spaced = re.sub(r"[\W_]+", " ", query)
-    parts = re.sub(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])|(?<=[A-ZÀ-ÖØ-Þ])(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])|(?<=[0-9])(?=[^0-9 ])|(?<=[^0-9 ])(?=[0-9])", " ", spaced)
-    return [t for t in dict.fromkeys(parts.lower().split()) if len(t.encode()) > 1]
+    parted = regex.sub(TOKEN_EDGE, " ", regex.sub(BETWEEN_TOKENS, " ", query))
+    return [t for t in dict.fromkeys(parted.lower().split()) if len(t.encode()) > 1]
 
 
 def terms(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
@@ -81,14 +80,18 @@ def terms(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), "value", "definition_id").limit(limit)
 
 
-def resolve_names(symbols: DataFrame, names: DataFrame, scope: str | None = None, shown: int = 10) -> DataFrame:
+def resolve_names(symbols: DataFrame, names: DataFrame, scope: str | None = None, shown: int = 10, nodes: DataFrame | None = None) -> DataFrame:
     """For each of names (query): (query, outcome, id, definitions_total, candidates).
 
-    Ids and qualified names go before short names. Without scope one definition resolves; with a scope (a part of the
+    Ids and qualified names go before short names; a name that is a node of the graph (nodes: node), but no symbol's id, is
+    that node. Without scope one definition resolves; with a scope (a part of the
     path) the definitions in it are counted. Outcomes: resolved, ambiguous, not_in_scope, no_symbol_named."""
     scope = (scope or "").strip() or None
     tiers = F.array(F.struct(F.lit(0).alias("tier"), F.col("id").alias("key")), F.struct(F.lit(0).alias("tier"), F.col("qualified").alias("key")), F.struct(F.lit(1).alias("tier"), F.col("name").alias("key")))
     keyed = symbols.select("id", "name", "path", F.explode(F.array_distinct(tiers)).alias("t")).select("id", "name", "path", "t.tier", "t.key").distinct()
+    if nodes is not None:
+        literal = nodes.select(F.col("node").alias("id")).distinct().join(symbols.select("id"), "id", "left_anti")
+        keyed = keyed.unionByName(literal.select("id", F.col("id").alias("name"), F.col("id").alias("path"), F.lit(-1).alias("tier"), F.col("id").alias("key")))
     hits = names.select("query").distinct().join(keyed, F.col("query") == F.col("key"), "left")
     inside = F.col("path").contains(scope) if scope else F.lit(True)
     best = hits.withColumn("_in", F.col("id").isNotNull() & inside)
@@ -116,3 +119,49 @@ def explore_rank(symbols: DataFrame, edges: DataFrame, query: str, limit: int =
     kept = boosted.withColumn("_best", F.max("score").over(Window.partitionBy())).filter("score >= _best - 50000").drop("_best").withColumn("reason", F.lit("term-coverage"))
     first = prefix(symbols, query, limit + 1).select("value", F.lit(None).cast("string").alias("definition_id"), "score", "reason")
     return first.unionByName(kept).orderBy(F.col("score").desc(), "value", "definition_id").limit(limit)
+
+
+def find(symbols: DataFrame, query: str, mode: str = "auto", limit: int = 100) -> DataFrame:
+    """(value, definition_id, score, reason) of a search by its mode: exact, prefix, fuzzy, regex, terms, or auto, the first
+    of exact, prefix, terms and fuzzy that finds anything. The limit is held between 1 and 1000."""
+    limit = max(1, min(limit, 1000))
+    none = F.lit(None).cast("string").alias("definition_id")
+    plain = lambda f: lambda: f(symbols, query, limit).select("value", none, "score", "reason")
+    modes = {"exact": plain(exact), "prefix": plain(prefix), "fuzzy": plain(fuzzy), "regex": plain(regex), "terms": lambda: terms(symbols, query, limit).withColumn("reason", F.lit("term-coverage"))}
+    if mode != "auto":
+        if mode not in modes:
+            raise ValueError(f"no such mode: {mode}")
+        return modes[mode]()
+    for name in ("exact", "prefix", "terms"):
+        found = modes[name]()
+        if not found.isEmpty():
+            return found
+    return modes["fuzzy"]()
+
+
+def explore(symbols: DataFrame, edges: DataFrame, query: str, limit: int = 10, relations: int = 20) -> DataFrame:
+    """The best definition for a query and what stands around it: (part, position, node, kind, depth, risk).
+
+    Parts: ``primary``, the highest definition of ``explore_rank`` (of a name, the least id); ``candidate``, the others;
+    ``caller`` and ``callee``, its first relations in display order; ``impact``, the riskiest that depend on it."""
+    from . import graph
+
+    ranked = explore_rank(symbols, edges, query, limit)
+    named = symbols.groupBy(F.col("name").alias("value")).agg(F.min("id").alias("_id"))
+    order = [F.col("score").desc(), F.col("value"), F.col("definition_id")]
+    hits = ranked.join(named, "value", "left").withColumn("node", F.coalesce("definition_id", "_id")).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    hits = hits.select("node", "position", F.col("reason").alias("kind"))
+    first = hits.orderBy("position").limit(1).collect()
+    empty = lambda df: df.select("part", "position", "node", F.col("kind"), F.col("depth").cast("int").alias("depth"), F.col("risk").cast("string").alias("risk"))
+    none = {"depth": F.lit(None), "risk": F.lit(None)}
+    out = empty(hits.withColumn("part", F.when(F.col("position") == 1, "primary").otherwise("candidate")).withColumns(none))
+    if not first or first[0]["node"] is None:
+        return out
+    primary = first[0]["node"]
+    for part, reverse, end in (("caller", True, "src"), ("callee", False, "dst")):
+        found = graph.sites(edges, primary, reverse, limit=relations)
+        out = out.unionByName(empty(found.select(F.lit(part).alias("part"), "position", F.col(end).alias("node"), "kind").withColumns(none)))
+    start = symbols.sparkSession.createDataFrame([(primary,)], "node string")
+    hurt = graph.impact(edges, start, graph.Limits(depth=4)).orderBy(F.col("score").desc(), "depth", "symbol").limit(relations)
+    at = F.row_number().over(Window.orderBy(F.col("score").desc(), "depth", "symbol"))
+    return out.unionByName(empty(hurt.select(F.lit("impact").alias("part"), at.alias("position"), F.col("symbol").alias("node"), F.lit(None).cast("string").alias("kind"), "depth", "risk")))

@@ -12,6 +12,7 @@ from ..operators import delta, graph, history, policy, resolve, search
 from ..sources import files as source
 from ..streaming import changes
 from . import bindings as b
+from .store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,28 +53,28 @@ def impact_risk(spark, sf_dir):
 
 @query(f"with recursive {b.FK_SQL}, {_reach('orders/1', False)} select node, depth from reach")
 def reach_forward(spark, sf_dir):
-    return graph.walk(graph.adjacency(b.fk_edges(spark, sf_dir)), _nodes(spark, "orders/1")).nodes.filter("depth > 0")
+    return graph.walk(stored(graph.adjacency(b.fk_edges(spark, sf_dir))), _nodes(spark, "orders/1")).nodes.filter("depth > 0")
 
 
 @query(f"with recursive {b.FK_SQL}, {_reach('nation/3', True)} select node, depth from reach")
 def reach_reverse(spark, sf_dir):
-    return graph.walk(graph.adjacency(b.fk_edges(spark, sf_dir), True), _nodes(spark, "nation/3")).nodes.filter("depth > 0")
+    return graph.walk(stored(graph.adjacency(b.fk_edges(spark, sf_dir), True)), _nodes(spark, "nation/3")).nodes.filter("depth > 0")
 
 
 @query(f"with recursive {b.FK_SQL}, {_reach('region/1', True, 2)} select node, depth from reach")
 def reach_depth_limited(spark, sf_dir):
-    return graph.walk(graph.adjacency(b.fk_edges(spark, sf_dir), True), _nodes(spark, "region/1"), graph.Limits(depth=2)).nodes.filter("depth > 0")
+    return graph.walk(stored(graph.adjacency(b.fk_edges(spark, sf_dir), True)), _nodes(spark, "region/1"), graph.Limits(depth=2)).nodes.filter("depth > 0")
 
 
 @query(f"with recursive {b.FK_SQL}, {_reach('nation/3', True)}, p as (select node, row_number() over (order by node) position from reach) select node, position::int position from p where position > 20 and position <= 40")
 def reach_paged(spark, sf_dir):
-    found = graph.walk(graph.adjacency(b.fk_edges(spark, sf_dir), True), _nodes(spark, "nation/3")).nodes.filter("depth > 0")
+    found = graph.walk(stored(graph.adjacency(b.fk_edges(spark, sf_dir), True)), _nodes(spark, "nation/3")).nodes.filter("depth > 0")
     return found.orderBy("node").offset(20).limit(20).select("node", (F.row_number().over(Window.orderBy("node")) + 20).alias("position"))
 
 
 @query(f"with recursive {b.FK_SQL}, {_reach('nation/5', True)}, v as (select node from reach union select 'nation/5') select (select count(*) from v)::bigint visited_nodes, (select count(*) from e join v on e.dst = v.node)::bigint visited_edges, false truncated")
 def reach_budgeted(spark, sf_dir):
-    adj = graph.adjacency(b.fk_edges(spark, sf_dir), True)
+    adj = stored(graph.adjacency(b.fk_edges(spark, sf_dir), True))
     found = graph.walk(adj, _nodes(spark, "nation/5"), graph.Limits(nodes=1_000_000_000))
     edges = adj.join(found.nodes.select(F.col("node").alias("src")), "src", "left_semi").agg(F.count("*").alias("visited_edges"))
     return edges.select(F.lit(found.visited_nodes).cast("long").alias("visited_nodes"), "visited_edges", F.lit(found.truncated).alias("truncated"))
@@ -82,7 +83,17 @@ def reach_budgeted(spark, sf_dir):
 @query(f"with recursive {b.TRADE_SQL}, e as (select * from trade), r(n, d) as (select (select min(src) from e), 0 union select e.dst, r.d + 1 from r join e on e.src = r.n where r.d < 4) select n node, min(d)::int depth from r group by n")
 def reach_cyclic(spark, sf_dir):
     e = b.trade_edges(spark, sf_dir)
-    return graph.walk(graph.adjacency(e), e.agg(F.min("src").alias("node")).filter("node is not null"), graph.Limits(depth=4)).nodes
+    return graph.walk(stored(graph.adjacency(e)), e.agg(F.min("src").alias("node")).filter("node is not null"), graph.Limits(depth=4)).nodes
+
+
+@query(f"with recursive {b.FK_SQL}, e as (select distinct src, dst from fk), l1 as (select distinct src node from e where dst = 'nation/5'), l2 as (select distinct src node from e join l1 on dst = node), c as (select (select count(*) from l1) n1, (select count(*) from l2) n2), t as (select node, 1 depth from l1 union all (select node, 2 from l2 order by node limit (select greatest(0, least(n2, n1 + n2 // 2 - n1)) from c))) select node, depth, true truncated, 'nodes' reason from t")
+def reach_truncated(spark, sf_dir):
+    """A walk that a budget of nodes cuts within its second level: the least names of that level stay."""
+    adj = stored(graph.adjacency(b.fk_edges(spark, sf_dir), True))
+    start = _nodes(spark, "nation/5")
+    sizes = {r[0]: r[1] for r in graph.walk(adj, start, graph.Limits(depth=2)).nodes.groupBy("depth").count().collect()}
+    found = graph.walk(adj, start, graph.Limits(nodes=1 + sizes.get(1, 0) + sizes.get(2, 0) // 2))
+    return found.nodes.filter("depth > 0").select("node", "depth", F.lit(found.truncated).alias("truncated"), F.lit(found.reason).alias("reason"))
 
 
 _ORDER = "case kind when 'Calls' then 0 when 'Instantiates' then 1 when 'Decorates' then 2 when 'References' then 3 when 'TypeOf' then 4 when 'Extends' then 5 when 'Implements' then 5 when 'Import' then 6 else 7 end, source_path nulls first, line nulls first, src, dst"
@@ -90,12 +101,12 @@ _ORDER = "case kind when 'Calls' then 0 when 'Instantiates' then 1 when 'Decorat
 
 @query(f"with {b.FK_SQL}, s as (select *, row_number() over (order by {_ORDER})::int position, count(*) over ()::bigint total from fk where dst = 'supplier/1') select src, dst, kind, source_path, line, position, total from s where position <= 50")
 def callers_of(spark, sf_dir):
-    return graph.sites(b.fk_edges(spark, sf_dir), "supplier/1").filter("position <= 50").drop("type_only")
+    return graph.sites(b.fk_edges(spark, sf_dir), "supplier/1").drop("type_only")
 
 
 @query(f"with {b.FK_SQL}, s as (select *, row_number() over (order by {_ORDER})::int position, count(*) over ()::bigint total from fk where src = 'orders/7') select src, dst, kind, source_path, line, position, total from s where position <= 50")
 def calls_from(spark, sf_dir):
-    return graph.sites(b.fk_edges(spark, sf_dir), "orders/7", reverse=False).filter("position <= 50").drop("type_only")
+    return graph.sites(b.fk_edges(spark, sf_dir), "orders/7", reverse=False).drop("type_only")
 
 
 @query(f"with {b.FK_SQL} select kind, count(*) n from fk where dst = 'nation/2' group by kind")
