@@ -152,6 +152,29 @@ def sites(edges: DataFrame, node: str, reverse: bool = True, after: int = 0, lim
     return first.filter(F.col("position") > after).crossJoin(found.agg(F.count("*").alias("total")))
 
 
+ROLLUP_DEPTH, MOST_ROLLUP_DEPTH = 3, 10
+
+
+def rollup_depth(mode: str) -> int:
+    """The depth that a rollup's mode asks for: ``dir`` or ``directory``, or either with ``:N`` of 1 to 10."""
+    name, colon, depth = mode.partition(":")
+    if name not in ("dir", "directory") or colon and not (depth.isascii() and depth.isdigit() and 1 <= int(depth) <= MOST_ROLLUP_DEPTH):
+        raise ValueError(f"no such rollup: {mode}")
+    return int(depth) if colon else ROLLUP_DEPTH
+
+
+def reference_sites(edges: DataFrame, symbols: DataFrame, node: str, reverse: bool = True, after: int = 0, limit: int = 50) -> DataFrame:
+    """A page of ``sites`` with the qualified name of the other end (its node where no symbol has it), the number of sites
+    of the row's kind, and the position to go on from (null at the end)."""
+    page = sites(edges, node, reverse, after, limit)
+    other = F.col("src" if reverse else "dst")
+    kinds = edges.filter(F.col("dst" if reverse else "src") == node).groupBy("kind").agg(F.count("*").alias("of_kind"))
+    names = symbols.groupBy("id").agg(F.min("qualified").alias("qualified"))
+    out = page.join(kinds, "kind").join(names, other == F.col("id"), "left")
+    more = F.when(F.col("total") > after + limit, F.lit(after + limit))
+    return out.select("position", other.alias("node"), F.coalesce("qualified", other).alias("name"), "kind", "source_path", "line", "of_kind", "total", more.cast("int").alias("next_after"))
+
+
 def rollup_sites(found: DataFrame, group: Column, file: Column, top: int = 12) -> DataFrame:
     """Sites and distinct files per group, the top groups and ``(other)`` with the number of groups in it."""
     grouped = found.select(group.alias("prefix"), file.alias("file")).groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))

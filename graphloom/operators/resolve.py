@@ -40,24 +40,30 @@ def alias_targets(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.groupBy("path", "specifier").agg(F.max_by("_to", F.when(F.col("_to").isNotNull(), F.struct(~F.col("_star"), F.length("_pre"), F.length("_suf"), F.col("_to")))).alias("module"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, base_url: str | None = None) -> DataFrame:
-    """(path, specifier, dst, resolved): the first candidate file that exists, else the specifier itself.
+def import_bases(imports: DataFrame, aliases: DataFrame | None = None, base_url: str | None = None) -> DataFrame:
+    """(path, specifier, base, bare): the module path that each import names, and the same without a known extension.
 
-    Relative specifiers start at the importer's folder; others at the best alias, else at base_url."""
+    Relative specifiers start at the importer's folder; others at the best alias, else at base_url (else both are null)."""
     i = imports.select("path", "specifier").distinct()
     i = alias_targets(i, aliases) if aliases is not None else i.withColumn("module", F.lit(None).cast("string"))
     folder = F.regexp_replace("path", r"[^/]*$", "")
-    relative = F.col("specifier").startswith(".")
     rooted = F.concat(F.lit(f"{base_url}/"), "specifier") if base_url is not None else F.lit(None).cast("string")
-    base = normalize_path(F.when(relative, F.concat(folder, "specifier")).otherwise(F.coalesce("module", rooted)))
+    base = normalize_path(F.when(F.col("specifier").startswith("."), F.concat(folder, "specifier")).otherwise(F.coalesce("module", rooted)))
+    return i.select("path", "specifier", base.alias("base")).withColumn("bare", F.regexp_replace("base", _KNOWN_EXTENSION, ""))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, base_url: str | None = None) -> DataFrame:
+    """(path, specifier, dst, resolved): the first candidate file that exists, else the specifier itself.
+
+    Candidates: the module path itself, with each known extension, without its extension and with each, as a folder's index.
+    Files are keyed by what they answer to, so an import is joined twice, not once per candidate."""
     known = probe_table(files)
-    asked = i.select("path", "specifier", base.alias("_base")).withColumn("_bare", F.regexp_replace("_base", _KNOWN_EXTENSION, ""))
-    named = known.withColumnsRenamed({c: f"_{c}" for c in known.columns})
-    found = asked.join(named, F.col("_base") == F.col("_key"), "left")
+    asked = import_bases(imports, aliases, base_url)
+    found = asked.join(known.withColumnRenamed("key", "_key"), F.col("base") == F.col("_key"), "left")
     # A specifier with the extension of the emitted file stands for the source beside it.
     swapped = known.select(F.col("key").alias("_key2"), F.col("with_extension").alias("_swapped"))
-    found = found.join(swapped, (F.col("_bare") == F.col("_key2")) & (F.col("_bare") != F.col("_base")), "left")
-    to = F.coalesce("_exact", "_with_extension", "_swapped", "_index")
+    found = found.join(swapped, (F.col("bare") == F.col("_key2")) & (F.col("bare") != F.col("base")), "left")
+    to = F.coalesce("exact", "with_extension", "_swapped", "index")
     return found.select("path", "specifier", F.coalesce(to, "specifier").alias("dst"), to.isNotNull().alias("resolved"))
 
 
@@ -135,3 +141,29 @@ def affected_files(changed_paths: DataFrame, changed_names: DataFrame, probes: D
     importers = probes.join(changed_paths.withColumnRenamed("path", "probed"), "probed", "left_semi").select("path")
     named = definers.unionByName(referrers).join(changed_names, "name", "left_semi").select("path")
     return changed_paths.select("path").union(importers).union(named).distinct()
+
+
+def sync_imports(edges: DataFrame, imports: tuple[DataFrame, DataFrame], files: tuple[DataFrame, DataFrame], aliases: DataFrame | None = None, base_url: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (path, specifier, dst, resolved) of the state before, brought to the state after, and the importers redone.
+
+    imports and files are those before and after. Only importers whose imports changed, or that try a file that came or
+    went (in vain or not), are resolved anew; the result equals a full rebuild."""
+    old, new = (i.select("path", "specifier").distinct() for i in imports)
+    changed = old.exceptAll(new).unionAll(new.exceptAll(old)).select("path")
+    before, after = (f.select("path").distinct() for f in files)
+    moved = before.exceptAll(after).unionAll(after.exceptAll(before))
+    keys = probe_table(moved).select("key")
+    tries = import_bases(new, aliases, base_url).select("path", F.explode(F.array_distinct(F.array("base", "bare"))).alias("key"))
+    affected = stored(changed.union(tries.join(keys, "key", "left_semi").select("path")).distinct())
+    fresh = resolve_imports(new.join(affected, "path", "left_semi"), files[1], aliases, base_url)
+    return edges.join(affected, "path", "left_anti").select(fresh.columns).unionByName(fresh), affected
+
+
+def sync_tier(changed_files: int, changed_names: int, moved_files: int, affected: int, total: int, share: float = 0.5) -> str:
+    """How a sync goes on: ``none`` without any change, ``content`` where no name and no file came or went, ``delta`` where the
+    affected files are at most a share of all, else ``full``."""
+    if not changed_files:
+        return "none"
+    if not changed_names and not moved_files:
+        return "content"
+    return "delta" if affected <= share * total else "full"

@@ -141,3 +141,41 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = """ev as (select user_id workspace, ts, case event_type when 'error' then 'other' when 'view' then 'read' else 'modify' end kind, case when event_type <> 'error' then event_type end path from events)"""
+
+
+def code(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Source code as tables (symbols, bindings, exports, refs): a class per supplier with a method per quantity it sold, a
+    class per customer with a field of a supplier's type, and a reference per order, of a form by its priority.
+
+    Customers of nation 0 import nothing by name, those of nation 1 through a barrel file that re-exports all."""
+    t = lambda n: table(spark, sf_dir, n)
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    k, n, c = F.col("l_suppkey"), F.col("l_quantity").cast("int"), F.col("c_custkey")
+    supplier = text("S", F.col("s_suppkey"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+
+    def symbol(df, path, name, qualified, kind, exported, declared=none):
+        named = df.select(path.alias("path"), name.alias("name"), qualified.alias("qualified"), F.lit(kind).alias("kind"), exported.alias("exported"), declared.alias("declared"), F.lit(1).cast("long").alias("span_size"))
+        return named.withColumn("id", text("symbol://", F.col("path"), "#value:", F.col("qualified")))
+
+    methods = t("lineitem").select(k.alias("k"), n.alias("n")).distinct()
+    wanted = text("S", c % 100 + 1)
+    symbols = symbol(t("supplier"), text("src/s", F.col("s_suppkey"), ".ts"), supplier, supplier, "class_declaration", F.lit(True))
+    symbols = symbols.unionByName(symbol(methods, text("src/s", F.col("k"), ".ts"), text("m", F.col("n")), text("S", F.col("k"), ".m", F.col("n")), "method", no))
+    symbols = symbols.unionByName(symbol(t("customer"), text("src/c", c, ".ts"), text("C", c), text("C", c), "class_declaration", F.lit(True)))
+    symbols = symbols.unionByName(symbol(t("customer"), text("src/c", c, ".ts"), F.lit("f"), text("C", c, ".f"), "public_field_definition", no, wanted))
+    source = text("src/s", c % 100 + 1, ".ts")
+    path = text("src/c", c, ".ts").alias("path")
+    named = t("customer").filter("c_nationkey <> 0").select(path, wanted.alias("local"), wanted.alias("imported"), F.when(F.col("c_nationkey") == 1, "src/index.ts").otherwise(source).alias("source"), F.lit("named").alias("kind"))
+    spaces = t("customer").select(path, F.lit("ns").alias("local"), F.lit("*").alias("imported"), source.alias("source"), F.lit("namespace").alias("kind"))
+    exports = t("supplier").select(F.lit("src/index.ts").alias("file"), F.lit("*").alias("exported"), none.alias("local"), text("src/s", F.col("s_suppkey"), ".ts").alias("source"))
+    j, q, owner = F.col("o_custkey") % 100 + 1, F.col("o_orderkey") % 60, text("C", F.col("o_custkey"))
+    form = F.substring("o_orderpriority", 1, 1)
+    name = F.when(form == "1", text("this.f.m", q)).when(form == "2", F.lit("this.f")).when(form == "3", text("S", j, ".m", q)).when(form == "4", text("ns.S", j)).otherwise(text("S", j))
+    refs = t("orders").select(F.col("o_orderkey").alias("ref"), text("src/c", F.col("o_custkey"), ".ts").alias("path"), owner.alias("owner"), name.alias("name"), F.lit("Calls").alias("kind"))
+    return {"symbols": symbols, "bindings": named.unionByName(spaces), "exports": exports, "refs": refs}
+
+
+CODE_SQL = """mt as (select distinct l_suppkey k, l_quantity::int n from lineitem),
+cu as (select c_custkey c, c_nationkey nation, c_custkey % 100 + 1 j, s_suppkey from customer left join supplier on s_suppkey = c_custkey % 100 + 1),
+rf as (select o_orderkey ref, o_custkey c, left(o_orderpriority, 1) form, o_orderkey % 60 q, nation, j, s_suppkey, mt.n from orders join cu on c = o_custkey left join mt on mt.k = j and mt.n = o_orderkey % 60)"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import directory_prefix, extension_of, file_of, has_noise_dir, language_of, listed_package_of, normalize_path, package_of, symbol_id, symbol_path, tokens_of
-from ..operators import delta, graph, history, policy, resolve, search
+from ..functions.columns import directory_prefix, extension_of, file_of, has_noise_dir, language_of, listed_package_of, normalize_path, package_of, symbol_id, symbol_path, tokens_of, unquoted
+from ..operators import delta, graph, history, link, policy, resolve, search
 from ..sources import files as source
 from ..streaming import changes
 from . import bindings as b
@@ -699,3 +699,102 @@ def session_reconcile(spark, sf_dir):
 @query(f"with {b.SYMBOL_EDGES_SQL} select distinct {_FILE.format('dst')} as file from se")
 def file_of_node(spark, sf_dir):
     return b.symbol_edges(spark, sf_dir).select(file_of(F.col("dst")).alias("file")).distinct()
+
+
+# References in full
+
+_MEMBERS = "mb as (select ref, case when form = '2' then concat('symbol://src/c', c, '.ts#value:C', c, '.f') when form in ('1', '3') then case when nation <> 0 and s_suppkey is not null and n is not null then concat('symbol://src/s', j, '.ts#value:S', j, '.m', q) end when s_suppkey is not null and (form = '4' or nation <> 0) then concat('symbol://src/s', j, '.ts#value:S', j) end dst, case form when '1' then 'field' when '2' then 'this' when '4' then 'namespace' else 'import' end how from rf)"
+
+
+@query(f"with {b.CODE_SQL}, {_MEMBERS} select ref, dst, how from mb where dst is not null")
+def resolve_members(spark, sf_dir):
+    c = b.code(spark, sf_dir)
+    return link.resolve_members(c["refs"], c["symbols"], c["bindings"], c["exports"])
+
+
+@query(f"with {b.CODE_SQL}, {_MEMBERS} select how, count(*) refs, count(distinct dst) definitions from mb where dst is not null group by how")
+def resolution_summary(spark, sf_dir):
+    c = b.code(spark, sf_dir)
+    found = link.resolve_members(c["refs"], c["symbols"], c["bindings"], c["exports"])
+    return found.groupBy("how").agg(F.count("*").alias("refs"), F.count_distinct("dst").alias("definitions"))
+
+
+@query("select concat('f', n_nationkey, '.ts') path, case when n_nationkey % 3 = 0 then 'ns' else 'x' end as local, case when n_nationkey % 3 = 0 then concat('d', n_nationkey, '.ts') end as file from nation where n_nationkey % 3 = 0 union all select concat('f', n_nationkey, '.ts'), 'ns', concat('d', n_regionkey, '.ts') from nation where n_nationkey % 3 = 1")
+def resolve_namespaces(spark, sf_dir):
+    """Namespace imports as they are; named imports of a namespace re-export; names that two files re-export stand for none."""
+    n = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    kind = F.when(F.col("k") % 3 == 0, "namespace").otherwise("named")
+    bindings = n.select(text("f", F.col("k"), ".ts").alias("path"), F.lit("ns").alias("local"), F.lit("ns").alias("imported"), F.when(F.col("k") % 3 == 0, text("d", F.col("k"), ".ts")).otherwise(text("b", F.col("k"), ".ts")).alias("source"), kind.alias("kind"))
+    one = n.filter("k % 3 > 0").select(text("b", F.col("k"), ".ts").alias("file"), F.lit("ns").alias("exported"), F.lit("*").alias("local"), text("d", F.col("r"), ".ts").alias("source"))
+    two = n.filter("k % 3 = 2").select(text("b", F.col("k"), ".ts").alias("file"), F.lit("ns"), F.lit("*"), text("e", F.col("r"), ".ts"))
+    symbols = spark.createDataFrame([], "id string, path string, name string, qualified string, kind string, exported boolean")
+    return link.namespaces_and_names(bindings, one.union(two), symbols)[0]
+
+
+@query("with cu as (select c_custkey c, c_nationkey nation, c_custkey % 100 + 1 j, s_suppkey from customer left join supplier on s_suppkey = c_custkey % 100 + 1) select concat('src/c', c, '.ts') src, case when s_suppkey is null then concat('./s', j) else concat('src/s', j, '.ts') end dst, 'Import' kind, case when s_suppkey is null then 0.0 else 1.0 end::double score, case when s_suppkey is null then 'unresolved' else 'file' end reason, false type_only from cu union all select concat('src/c', c, '.ts'), concat('symbol://src/s', j, '.ts#value:S', j), 'Import', 1.0, 'unique_symbol', false from cu where nation <> 0 and s_suppkey is not null union all select 'src/index.ts', concat('src/s', s_suppkey, '.ts'), 'ReExport', 1.0, 'file', false from supplier")
+def symbol_import_edges(spark, sf_dir):
+    c = b.code(spark, sf_dir)
+    files = c["symbols"].select("path").distinct()
+    j = F.col("c_custkey") % 100 + 1
+    asked = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("src/c"), "c_custkey", F.lit(".ts")).alias("path"), F.concat(F.lit("./s"), j).alias("specifier"))
+    return link.import_edges(resolve.resolve_imports(asked, files), c["bindings"], c["exports"], c["symbols"])
+
+
+def _import_states(spark, sf_dir):
+    """Imports and files of two states: parts of size 7 lose their file, importers of size 8 go, and of size 9 import more."""
+    i, f = b.imports(spark, sf_dir)
+    p = b.table(spark, sf_dir, "part").select("p_size", F.concat(F.lit("src/m/p"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("src/m/p"), "p_partkey", F.lit("/index.js")).alias("index"))
+    lost = p.filter("p_size = 7").select("path").union(p.filter("p_size = 7").select("index"))
+    more = i.join(p.filter("p_size = 9"), "path", "left_semi").select("path", F.lit("./p1").alias("specifier"))
+    return (i, i.join(p.filter("p_size = 8"), "path", "left_anti").union(more).distinct()), (f, f.join(lost, "path", "left_anti"))
+
+
+_SYNCED = "pt as (select concat('src/m/p', p_partkey, '.ts') pp, p_partkey pk, p_size from part), sy as (select ri.path, ri.specifier, case when t.p_size = 7 then ri.specifier else ri.dst end dst, ri.resolved and coalesce(t.p_size <> 7, true) resolved from ri join im on im.path = ri.path and im.specifier = ri.specifier left join pt t on t.pk = im.k and ri.resolved left join pt o on o.pp = ri.path where coalesce(o.p_size, 0) <> 8), one as (select 1 from part where p_partkey = 1 and p_size <> 7), ad as (select distinct im.path, './p1' specifier, case when exists (select 1 from one) then 'src/m/p1.ts' else './p1' end dst, exists (select 1 from one) resolved from im join pt on pp = im.path where p_size = 9)"
+
+
+@query(f"with {b.IMPORTS_SQL}, {_SYNCED} select * from sy union select * from ad")
+def sync_incremental(spark, sf_dir):
+    """Edges of the state before, synced to the state after; the SQL builds the state after from scratch."""
+    i, f = _import_states(spark, sf_dir)
+    before = stored(resolve.resolve_imports(i[0], f[0], _aliases(spark)))
+    return resolve.sync_imports(before, i, f, _aliases(spark))[0]
+
+
+@query(f"with {b.FK_SQL}, {b.SYMBOLS_SQL}, s as (select *, row_number() over (order by {_ORDER})::int position, count(*) over ()::bigint total, count(*) over (partition by kind)::bigint of_kind from fk where dst = 'supplier/1') select position, src node, src as name, kind, source_path, line, of_kind, total, case when total > 40 then 40 end::int next_after from s where position > 20 and position <= 40")
+def reference_page(spark, sf_dir):
+    return graph.reference_sites(b.fk_edges(spark, sf_dir), b.symbols(spark, sf_dir), "supplier/1", after=20, limit=20)
+
+
+@query(f"with {b.SYMBOL_EDGES_SQL}, q as (select case when strpos(source_path, '/') = 0 then '(repo root)' else array_to_string(string_split(source_path, '/')[1:least(len(string_split(source_path, '/')) - 1, 2)], '/') end prefix, count(*) n, count(distinct source_path) files from se group by 1), {_ROLLUP}")
+def rollup_by_mode(spark, sf_dir):
+    found = b.symbol_edges(spark, sf_dir)
+    return graph.rollup_sites(found, directory_prefix(F.col("source_path"), graph.rollup_depth("dir:2")), F.col("source_path"))
+
+
+@query(f"with {b.EVENTS_SQL}, ks as (select * from ev where kind <> 'read'), la as (select *, case when ts - lag(ts) over (partition by workspace order by ts) < interval 12 hours then 0 else 1 end s from ks), nu as (select *, sum(s) over (partition by workspace order by ts rows unbounded preceding) i from la), ba as (select workspace, min(ts) first, count(*)::bigint events, max((kind = 'other')::int) = 1 reconcile, list_sort(list(distinct path) filter (where path is not null)) p from nu group by workspace, i), pt as (select *, unnest(range(0, greatest(1, coalesce(len(p), 0)), 1)) a from ba where not reconcile) select workspace, first, events, a::int part, coalesce(p[a + 1], '') path from pt")
+def session_parts(spark, sf_dir):
+    """Batches of at most one path each: no batch is dropped for its size."""
+    found = changes.batches(changes.relevant(b.events(spark, sf_dir)), "12 hours", most_paths=1).filter(~F.col("reconcile"))
+    return found.select("workspace", "first", "events", "part", F.array_join("paths", "|").alias("path"))
+
+
+@query(f"with {b.FILES_SQL} select path, regexp_replace(concat(chr(39), path, chr(39)), '^.(.*).$', '\\1') plain, concat('\"', path) broken from fi")
+def unquote_specifiers(spark, sf_dir):
+    f = b.files(spark, sf_dir).select("path")
+    return f.select("path", unquoted(F.concat(F.lit("'"), "path", F.lit("'"))).alias("plain"), unquoted(F.concat(F.lit('"'), "path")).alias("broken"))
+
+
+@query(f"with {b.SYMBOLS_SQL}, d as (select distinct name from sy) select name as value, null::varchar definition_id, case when name = 'Re' then 1300000 when lower(name) = 're' then 1200000 when starts_with(name, 'Re') then 1100000 else 1000000 end score, case when name = 'Re' then 'exact-case' when lower(name) = 're' then 'exact-case-insensitive' when starts_with(name, 'Re') then 'prefix-case' else 'prefix-case-insensitive' end reason from d where starts_with(lower(name), 're') order by score desc, value limit 100")
+def search_auto(spark, sf_dir):
+    return search.find(b.symbols(spark, sf_dir), "Re")
+
+
+@query(f"with {b.FILES_SQL}, g as (select sum(bytes)::bigint bytes, count(*) filter (where path like '%.ts')::bigint manifests from fi) select * from g")
+def index_footprint(spark, sf_dir):
+    return source.footprint(b.files(spark, sf_dir), "%.ts")
+
+
+@query()
+def explore(spark, sf_dir):
+    return search.explore(b.symbols(spark, sf_dir), b.symbol_edges(spark, sf_dir), "red Widget economy method")

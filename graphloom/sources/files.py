@@ -143,6 +143,11 @@ def scan_stats(artifacts: DataFrame) -> DataFrame:
     return artifacts.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("diagnostic").isNotNull()).alias("with_diagnostics"))
 
 
+def footprint(files: DataFrame, manifests: str = "%/manifest%") -> DataFrame:
+    """One row: the bytes of all files of an index, and how many are manifests, by a pattern of their paths."""
+    return files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("path").like(manifests)).alias("manifests"))
+
+
 def file_diagnostics(artifacts: DataFrame, limit: int = 20) -> DataFrame:
     return artifacts.filter("diagnostic is not null").orderBy("path").limit(limit).select("path", F.col("diagnostic").alias("code"))
 

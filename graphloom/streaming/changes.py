@@ -15,17 +15,26 @@ def relevant(events: DataFrame) -> DataFrame:
     return events.filter(~F.col("kind").isin(*READ_KINDS) & (F.col("path").isNotNull() | (F.col("kind") == "other")))
 
 
-def batches(events: DataFrame, gap: str, most_paths: int = 4096, watermark: str | None = None) -> DataFrame:
-    """One row per workspace and burst of events with no pause of ``gap``: distinct paths, or a reconcile request.
+def batches(events: DataFrame, gap: str, most_paths: int | None = None, watermark: str | None = None, most_span: str | None = None) -> DataFrame:
+    """One row per workspace and batch: a burst of events with no pause of ``gap``; distinct paths, or a reconcile request.
 
-    Works on tables and, with a watermark, on streams. A burst with an ``other`` event or more than most_paths paths
-    asks for a reconcile and names no paths."""
+    Works on tables and, with a watermark, on streams. A burst with an ``other`` event asks for a reconcile and names no
+    paths. With most_span a burst is cut into spans of that length from the epoch on; with most_paths its distinct paths
+    are dealt over as many rows (``part``) as hold at most so many each, by hash."""
     if watermark:
         events = events.withWatermark("ts", watermark)
+    keys = ["workspace", F.session_window("ts", gap).alias("w")]
+    if most_span:
+        events = events.withColumn("_span", F.window("ts", most_span)["start"])
+        keys.append(F.col("_span"))
     paths = F.array_sort(F.collect_set("path"))
-    grouped = events.groupBy("workspace", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), paths.alias("_p"), F.max((F.col("kind") == "other").cast("int")).alias("_other"), F.max("ts").alias("last"))
-    reconcile = (F.col("_other") == 1) | (F.size("_p") > most_paths)
-    return grouped.select("workspace", F.col("w.start").alias("first"), "last", "events", reconcile.alias("reconcile"), F.when(reconcile, F.array().cast("array<string>")).otherwise(F.col("_p")).alias("paths"))
+    grouped = events.groupBy(*keys).agg(F.count("*").alias("events"), paths.alias("_p"), F.max((F.col("kind") == "other").cast("int")).alias("_other"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    reconcile = F.col("_other") == 1
+    whole = grouped.select("workspace", "first", "last", "events", reconcile.alias("reconcile"), F.when(reconcile, F.array().cast("array<string>")).otherwise(F.col("_p")).alias("paths"))
+    if most_paths is None:
+        return whole
+    starts = F.when(F.size("paths") > 0, F.sequence(F.lit(0), F.size("paths") - 1, F.lit(most_paths))).otherwise(F.array(F.lit(0)))
+    return whole.withColumn("_at", F.explode(starts)).withColumn("part", (F.col("_at") / most_paths).cast("int")).withColumn("paths", F.slice("paths", F.col("_at") + 1, F.lit(most_paths))).drop("_at")
 
 
 def cut_batches(rows: Iterator[tuple[float, str]], gap: float, most_seconds: float, most_paths: int) -> Iterator[set[str]]:
@@ -44,15 +53,18 @@ def cut_batches(rows: Iterator[tuple[float, str]], gap: float, most_seconds: flo
         yield held
 
 
-def watch(stream: DataFrame, sync: Callable[[list[str]], None], reconcile: Callable[[], None], gap: str, checkpoint: str, watermark: str = "0 seconds", once: bool = False):
-    """Start a query that calls sync(paths) or reconcile() for each finished batch of a stream of events."""
+def watch(stream: DataFrame, sync: Callable, reconcile: Callable[[], None], gap: str, checkpoint: str, watermark: str = "0 seconds", once: bool = False, as_table: bool = False):
+    """Start a query that calls sync(paths) or reconcile() for the finished batches of each trigger.
+
+    paths is a sorted list, or with as_table a table (path), which stays distributed however many there are."""
 
     def apply(frame: DataFrame, _: int) -> None:
-        rows = frame.select("reconcile", "paths").collect()  # the finished bursts of one trigger
-        if any(r[0] for r in rows):
+        asked = frame.agg(F.max("reconcile"), F.sum(F.size("paths"))).first()
+        if asked[0]:
             reconcile()
-        elif paths := sorted({p for r in rows for p in r[1]}):
-            sync(paths)
+        elif asked[1]:
+            paths = frame.select(F.explode("paths").alias("path")).distinct()
+            sync(paths if as_table else sorted(r[0] for r in paths.collect()))
 
     writer = batches(relevant(stream), gap, watermark=watermark).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer).start()
