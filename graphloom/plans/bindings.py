@@ -179,3 +179,16 @@ def code(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 CODE_SQL = """mt as (select distinct l_suppkey k, l_quantity::int n from lineitem),
 cu as (select c_custkey c, c_nationkey nation, c_custkey % 100 + 1 j, s_suppkey from customer left join supplier on s_suppkey = c_custkey % 100 + 1),
 rf as (select o_orderkey ref, o_custkey c, left(o_orderpriority, 1) form, o_orderkey % 60 q, nation, j, s_suppkey, mt.n from orders join cu on c = o_custkey left join mt on mt.k = j and mt.n = o_orderkey % 60)"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file of TypeScript per supplier."""
+    k, j = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + F.col("s_nationkey")).cast("string")
+    text = F.lit(
+        "import { Sj as Base, type Tj } from './sj';\nimport * as tools from '../tools';\nexport { Sj as Againk } from './sj';\n"
+        "export interface Tk { size: Tj }\nexport class Sk extends Base implements Tk {\n  private tool: Tj;\n"
+        "  run(a) { const local = 1; local.go(); return this.stop(`x${tools.help(a)}y`); }\n  stop() { try { this.tool.go(); } catch (e) { e(); } }\n}\n"
+        "export function makek() { const inner = () => new Sk(); return inner(); }\n"
+    )
+    content = F.regexp_replace(F.regexp_replace(text, r"(\bS|\bT|/s)j\b", F.concat(F.lit("$1"), j)), r"(\bS|\bT|Again|make)k\b", F.concat(F.lit("$1"), k))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".ts")).alias("path"), content.alias("content"))

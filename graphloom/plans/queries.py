@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import directory_prefix, extension_of, file_of, has_noise_dir, language_of, listed_package_of, normalize_path, package_of, symbol_id, symbol_path, tokens_of, unquoted
 from ..operators import delta, graph, history, link, policy, resolve, search
+from ..sources import extract
 from ..sources import files as source
 from ..streaming import changes
 from . import bindings as b
@@ -798,3 +799,40 @@ def index_footprint(spark, sf_dir):
 @query()
 def explore(spark, sf_dir):
     return search.explore(b.symbols(spark, sf_dir), b.symbol_edges(spark, sf_dir), "red Widget economy method")
+
+
+# Extraction
+
+_SUPPLIERS = "x as (select concat('src/s', s_suppkey, '.ts') path, s_suppkey::varchar k, (s_suppkey + s_nationkey)::varchar j from supplier)"
+
+
+def _extracted(spark, sf_dir, part):
+    return extract.extract(b.sources(spark, sf_dir)).select("path", F.explode(part).alias("x")).select("path", "x.*")
+
+
+@query(f"with {_SUPPLIERS} select path, unnest([concat('T', k), 'size', concat('S', k), 'tool', 'run', 'local', 'stop', concat('make', k), 'inner']) as name, unnest([concat('T', k), concat('T', k, '.size'), concat('S', k), concat('S', k, '.tool'), concat('S', k, '.run'), concat('S', k, '.run.local'), concat('S', k, '.stop'), concat('make', k), concat('make', k, '.inner')]) qualified, unnest(['interface_declaration', 'property', 'class_declaration', 'property', 'method', 'constant', 'method', 'function_declaration', 'function_declaration']) kind, unnest([true, false, true, false, false, false, false, true, false]) exported, unnest([false, false, false, false, false, true, false, false, true]) scoped, unnest([3, 3, 4, 5, 6, 6, 7, 9, 9]) line from x")
+def extract_symbols(spark, sf_dir):
+    return _extracted(spark, sf_dir, "symbols").select("path", "name", "qualified", "kind", "exported", F.col("id").contains("@scope:").alias("scoped"), "line")
+
+
+@query(f"with {_SUPPLIERS} select path, unnest([concat('T', k), concat('S', k), concat('S', k), concat('S', k), concat('S', k, '.run'), concat('S', k, '.run'), concat('S', k, '.stop'), concat('make', k, '.inner'), concat('make', k)]) owner, unnest([concat('T', j), 'Base', concat('T', k), concat('T', j), 'this.stop', 'tools.help', 'this.tool.go', concat('S', k), 'inner']) target, unnest(['TypeOf', 'Extends', 'Implements', 'TypeOf', 'Calls', 'Calls', 'Calls', 'Instantiates', 'Calls']) kind from x")
+def extract_refs(spark, sf_dir):
+    return _extracted(spark, sf_dir, "refs").select("path", F.regexp_extract("from", "#(?:value|type):([^@]*)", 1).alias("owner"), F.col("to").alias("target"), "kind")
+
+
+@query(f"with {_SUPPLIERS} select path, unnest([concat('./s', j), concat('./s', j), '../tools']) specifier, unnest([concat('S', j), concat('T', j), '*']) imported, unnest(['Base', concat('T', j), 'tools']) as local, unnest(['named', 'named', 'namespace']) kind, unnest([false, true, false]) type_only from x")
+def extract_import_bindings(spark, sf_dir):
+    return _extracted(spark, sf_dir, "imports").drop("line")
+
+
+@query(f"with {_SUPPLIERS} select path, concat('Again', k) exported, concat('S', j) as local, concat('./s', j) source, 'named' kind, false type_only from x")
+def extract_exports(spark, sf_dir):
+    return _extracted(spark, sf_dir, "exports").drop("line")
+
+
+@query(f"with {_SUPPLIERS}, s as (select s_suppkey::varchar j from supplier) select path, case when s.j is null then concat('./s', x.j) else concat('src/s', x.j, '.ts') end dst, s.j is not null resolved from x left join s on s.j = x.j union all select path, '../tools', false from x")
+def extract_and_resolve(spark, sf_dir):
+    """From source text to import edges: extraction, then resolution."""
+    f = b.sources(spark, sf_dir)
+    asked = _extracted(spark, sf_dir, "imports").select("path", "specifier").distinct()
+    return resolve.resolve_imports(asked, f.select("path")).select("path", "dst", "resolved")

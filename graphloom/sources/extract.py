@@ -1,7 +1,8 @@
 """Declarations, imports, exports and references of TypeScript and JavaScript files.
 
-A tokenizer and a scope-tracking scan, not a full grammar: type-level syntax beyond annotations, decorators' arguments
-and template expressions are scanned as plain tokens. ``extract`` runs it over a table of files in Arrow batches.
+A tokenizer and a scope-tracking scan, not a full grammar: type-level syntax beyond annotations and decorators' arguments
+are scanned as plain tokens, and the expressions of a template as if they were added to it in parentheses. ``extract``
+runs it over a table of files in Arrow batches.
 """
 
 from __future__ import annotations
@@ -19,16 +20,32 @@ _NESTING = frozenset(["if", "for", "while", "do", "switch", "catch"])
 _KEYWORDS = frozenset("if for while do switch case default catch else return new typeof instanceof in of const let var function class extends implements interface type enum namespace import export from as async await yield throw try finally delete void this super null true false undefined static public private protected readonly override abstract declare get set".split())
 
 
-def tokens(source: str) -> list[tuple[str, str, int, int]]:
+def tokens(source: str, line: int = 0, start: int = 0) -> list[tuple[str, str, int, int]]:
     """(kind, text, line, place) without white space and comments."""
-    out, line = [], 0
+    out = []
     for m in _TOKEN.finditer(source):
         if m.lastgroup not in ("space", "comment"):
-            out.append((m.lastgroup, m[0], line, m.start()))
+            out.append((m.lastgroup, m[0], line, start + m.start()))
+            if m[0][0] == "`" and "${" in m[0]:
+                out += _expressions(m[0], line, start + m.start())
         line += m[0].count("\n")
     return out
 
 
+def _expressions(template: str, line: int, start: int) -> list[tuple[str, str, int, int]]:
+    """The tokens of a template's expressions, each in parentheses."""
+    out, at = [], 0
+    while (at := template.find("${", at)) >= 0:
+        depth, end = 1, at + 2
+        while end < len(template) and depth:
+            depth += {"{": 1, "}": -1}.get(template[end], 0)
+            end += 1
+        here, place = line + template.count("\n", 0, at), start + at
+        out += [("op", "+", here, place), ("op", "(", here, place), *tokens(template[at + 2 : end - 1], here, place + 2), ("op", ")", here, place)]
+        at = end
+    return out
+
+
 class _Scan:
     def __init__(self, path: str, source: str):
         self.path, self.t, self.i = path, tokens(source), 0
@@ -37,6 +54,8 @@ class _Scan:
         self.exports: list[dict] = []
         self.refs: list[dict] = []
         self.diagnostics: list[str] = []
+        self.scopes: list[tuple[int, int]] = []
+        self.ids: dict[str, str] = {}
 
     def text(self, k: int = 0) -> str:
         return self.t[self.i + k][1] if 0 <= self.i + k < len(self.t) else ""
@@ -82,24 +101,28 @@ class _Scan:
         qualified = ".".join([*owner, name])
         space = "type" if kind in ("interface_declaration", "type_alias_declaration") else "value"
         cyclomatic, cognitive = self.complexity(*span) if span else (None, None)
-        self.symbols.append({"id": f"symbol://{self.path}#{space}:{qualified}", "name": name, "qualified": qualified, "kind": kind, "exported": exported, "line": self.line(), "cyclomatic": cyclomatic, "cognitive": cognitive})
+        # What is declared inside a function holds there only.
+        scope = f"@scope:{self.scopes[-1][0]}:{self.scopes[-1][1]}" if self.scopes else ""
+        self.ids[qualified] = symbol = f"symbol://{self.path}#{space}:{qualified}{scope}"
+        self.symbols.append({"id": symbol, "name": name, "qualified": qualified, "kind": kind, "exported": exported, "line": self.line(), "cyclomatic": cyclomatic, "cognitive": cognitive})
 
     def refer(self, owner: list[str], to: str, kind: str) -> None:
-        source = f"symbol://{self.path}#value:{'.'.join(owner)}" if owner else self.path
+        name = ".".join(owner)
+        source = self.ids.get(name, f"symbol://{self.path}#value:{name}") if owner else self.path
         self.refs.append({"from": source, "to": to, "kind": kind, "line": self.line()})
 
-    def bindings(self, end: int) -> list[tuple[str, str]]:
-        """(imported, local) pairs of a braced list up to place end."""
+    def bindings(self, end: int) -> list[tuple[str, str, bool]]:
+        """(imported, local, type only) of a braced list up to place end."""
         out, k = [], self.i
         while k < end:
-            if self.t[k][1] == "type" and self.t[k + 1][0] == "name" and self.t[k + 1][1] != "as":
-                k += 1
+            type_only = self.t[k][1] == "type" and self.t[k + 1][0] == "name" and self.t[k + 1][1] != "as"
+            k += type_only
             name = self.t[k][1].strip("'\"")
             local = name
             if k + 2 < end and self.t[k + 1][1] in ("as", ":"):
                 local, k = self.t[k + 2][1], k + 2
             if re.match(r"[\w$]", name):
-                out.append((name, local))
+                out.append((name, local, type_only))
             while k < end and self.t[k][1] != ",":
                 k += 1
             k += 1
@@ -120,23 +143,22 @@ class _Scan:
             if self.text() == "{":
                 end = self.close_of(self.i)
                 self.i += 1
-                pairs += [(a, b, "named") for a, b in self.bindings(end)]
+                pairs += [(a, b, "named", own) for a, b, own in self.bindings(end)]
                 self.i = end
             elif self.text() == "*":
-                pairs.append(("*", self.text(2), "namespace"))
+                pairs.append(("*", self.text(2), "namespace", False))
                 self.i += 2
             elif self.kind() == "name":
                 kind = "import_equals" if self.text(1) == "=" else "default"
-                pairs.append(("default", self.text(), kind))
+                pairs.append(("default", self.text(), kind, False))
                 if kind == "import_equals" and self.text(2) == "require":
                     self.i += 3
             self.i += 1
         if self.text() == "from":
             self.i += 1
         if self.kind() == "string":
-            base = {"specifier": self.text()[1:-1], "type_only": type_only, "line": line}
-            for a, b, kind in pairs or [(None, None, "side_effect")]:
-                self.imports.append(base | {"imported": a, "local": b, "kind": kind})
+            for a, b, kind, own in pairs or [(None, None, "side_effect", False)]:
+                self.imports.append({"specifier": self.text()[1:-1], "imported": a, "local": b, "kind": kind, "type_only": type_only or own, "line": line})
 
     def run_export(self) -> bool:
         """Handle export lists and stars; True if a declaration follows."""
@@ -157,7 +179,7 @@ class _Scan:
             pairs, source = self.bindings(end), None
             if end + 2 < len(self.t) and self.t[end + 1][1] == "from":
                 source = self.t[end + 2][1][1:-1]
-            self.exports += [{"exported": b, "local": a, "source": source, "kind": "named", "type_only": type_only, "line": line} for a, b in pairs]
+            self.exports += [{"exported": b, "local": a, "source": source, "kind": "named", "type_only": type_only or own, "line": line} for a, b, own in pairs]
             self.i = end + (2 if source is not None else 0)
             return False
         if word == "default":
@@ -265,6 +287,25 @@ class _Scan:
     def parameters(self, at: int, close: int) -> frozenset[str]:
         return frozenset(self.t[k][1] for k in range(at + 1, close) if self.t[k][0] == "name" and self.t[k - 1][1] in ("(", ",", "{", "...", "public", "private", "protected", "readonly", "override", "[") and self.t[k][1] not in _KEYWORDS)
 
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The places of two tokens in the text."""
+        last = len(self.t) - 1
+        return (self.t[min(start, last)][3], self.t[min(end, last)][3] + len(self.t[min(end, last)][1])) if self.t else (0, 0)
+
+    def locals_(self, start: int, end: int) -> frozenset[str]:
+        """Names between two tokens that are caught errors, loop variables, or values that are no function or class."""
+        out = set()
+        for k in range(max(start, 1), min(end, len(self.t) - 2)):
+            word, name = self.t[k][1], self.t[k + 1]
+            if word == "catch" and name[1] == "(" and self.t[k + 2][0] == "name":
+                out.add(self.t[k + 2][1])
+            elif word in ("const", "let", "var") and name[0] == "name":
+                value = [t[1] for t in self.t[k + 2 : k + 6]]
+                plain = value[:1] != ["="] or value[1:2] not in (["("], ["async"], ["function"], ["class"]) and "=>" not in value
+                if value[:1] and value[0] in ("=", "of", "in", ";", ",") and plain:
+                    out.add(name[1])
+        return frozenset(out)
+
     def callable_(self, name: str, kind: str, owner: list[str], exported: bool, end: int, shadowed: frozenset[str]) -> None:
         at = next((j for j in range(self.i, end) if self.t[j][1] == "("), end)
         if at == end:
@@ -277,9 +318,11 @@ class _Scan:
             for k in range(at, close):
                 if self.t[k][1] in ("public", "private", "protected", "readonly", "override") and self.t[k + 1][0] == "name" and self.t[k + 1][1] not in _KEYWORDS:
                     self.declare(self.t[k + 1][1], "property", owner, False)
-        inner = shadowed | self.parameters(at, close)
+        inner = shadowed | self.parameters(at, close) | self.locals_(brace, stop)
         self.i = at + 1
+        self.scopes.append(self.span(brace, stop))
         self.body([*owner, name], stop, inner)
+        self.scopes.pop()
         self.i = min(stop, len(self.t)) if stop < len(self.t) and self.t[stop][1] == "}" and brace != stop else stop - 1
 
     def variables(self, kind: str, owner: list[str], exported: bool, end: int, shadowed: frozenset[str]) -> None:
@@ -319,7 +362,9 @@ class _Scan:
             brace = next((j for j in range(at, end) if self.t[j][1] == "{"), end)
             stop = self.close_of(brace) if brace < end else next((j for j in range(at, end) if self.t[j][1] == ";"), end)
             self.i = at + 1
-            self.body([*owner, names[0]], min(stop, end), inner)
+            self.scopes.append(self.span(at, min(stop, end)))
+            self.body([*owner, names[0]], min(stop, end), inner | self.locals_(at, min(stop, end)))
+            self.scopes.pop()
 
 
 def parse_source(path: str, source: str) -> dict[str, list]:
