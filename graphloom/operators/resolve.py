@@ -98,8 +98,16 @@ def unique_definitions(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def enclosing_scopes(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """points (key, at) with the smallest of scopes (key, scope, low, high) that holds each: an interval join on key."""
-    inside = points.join(scopes, "key").filter("at >= low and at <= high")
+    """points (key, at) with the smallest of scopes (key, scope, low, high) that holds each.
+
+    A scope of at most 2**n places lies in one or two cells of that width, so a point meets the scopes of its own cells, one
+    for each width there is (64 at most), and not all of its key's."""
+    sized = scopes.filter("low <= high").withColumn("_n", F.ceil(F.log2((F.col("high") - F.col("low") + 1).cast("double"))).cast("int"))
+    widths = sorted(r[0] for r in sized.select("_n").distinct().collect())  # 64 at most
+    cell = lambda c: F.expr(f"floor({c} / pow(2, _n))")
+    placed = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("low"), cell("high"))))).select("key", "scope", "low", "high", "_n", "_cell")
+    tried = points.select("key", "at", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>")).alias("_n")).withColumn("_cell", cell("at"))
+    inside = tried.join(placed, ["key", "_n", "_cell"]).filter("at >= low and at <= high")
     return inside.groupBy("key", "at").agg(F.min_by("scope", F.struct(F.col("high") - F.col("low"), F.col("scope"))).alias("scope"))
 
 

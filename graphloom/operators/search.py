@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BETWEEN_TOKENS, TOKEN_EDGE, tokens_of
@@ -68,10 +68,29 @@ def query_tokens(query: str) -> list[str]:
     return [t for t in dict.fromkeys(parted.lower().split()) if len(t.encode()) > 1]
 
 
-def terms(symbols: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Definitions that hold any of the query's tokens, scored by coverage: (value, definition_id, score)."""
+#: Folders of a stored term index; a token is in the one of its hash.
+SHARDS = 64
+
+
+def write_term_index(symbols: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Postings on disk in folders by their token's hash, sorted by token: a query reads its tokens' row groups only."""
+    sharded = postings(symbols).withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int"))
+    sharded.repartition(shards, "shard").sortWithinPartitions("shard", "token").write.mode("errorifexists").partitionBy("shard").parquet(path)
+
+
+def read_term_index(spark: SparkSession, path: str, tokens: list[str], shards: int = SHARDS) -> DataFrame:
+    """The postings of some tokens from ``write_term_index``."""
+    wanted = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")).distinct()
+    stored = spark.read.schema("token string, id string, name string, fields int, shard int").parquet(path)
+    return stored.filter(F.col("shard").isin([r[0] for r in wanted.collect()]) & F.col("token").isin(tokens)).drop("shard")
+
+
+def terms(symbols: DataFrame, query: str, limit: int = 100, index: str | None = None) -> DataFrame:
+    """Definitions that hold any of the query's tokens, scored by coverage: (value, definition_id, score).
+
+    Postings come from a stored index where its path is given."""
     wanted = query_tokens(query)
-    found = postings(symbols).filter(F.col("token").isin(wanted)) if wanted else postings(symbols).limit(0)
+    found = read_term_index(symbols.sparkSession, index, wanted) if index else postings(symbols).filter(F.col("token").isin(wanted))
     count = lambda bit: F.sum((F.col("fields").bitwiseAND(bit) > 0).cast("int"))
     per = found.groupBy("id", "name").agg(F.count("*").alias("m"), *[count(bit).alias(c) for c, bit in (("n", 1), ("q", 2), ("p", 4), ("k", 8))])
     part = lambda c, most, points: F.least(F.col(c), F.lit(most)) * points

@@ -14,34 +14,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<name>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<number>\d[\w.]*)|(?P<op>=>|\?\?|\?\.|&&|\|\||\.\.\.|[-+*/%&|^!=<>]=?=?|[{}()\[\];,.:?@#~])", re.S)
+_TOKEN = re.compile(r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<template>`)|(?P<name>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<number>\d[\w.]*)|(?P<op>=>|\?\?|\?\.|&&|\|\||\.\.\.|[-+*/%&|^!=<>]=?=?|[{}()\[\];,.:?@#~])", re.S)
 _BRANCHES = frozenset(["if", "for", "while", "do", "case", "default", "catch", "else", "?", "&&", "||"])
 _NESTING = frozenset(["if", "for", "while", "do", "switch", "catch"])
 _KEYWORDS = frozenset("if for while do switch case default catch else return new typeof instanceof in of const let var function class extends implements interface type enum namespace import export from as async await yield throw try finally delete void this super null true false undefined static public private protected readonly override abstract declare get set".split())
 
 
-def tokens(source: str, line: int = 0, start: int = 0) -> list[tuple[str, str, int, int]]:
-    """(kind, text, line, place) without white space and comments."""
-    out = []
-    for m in _TOKEN.finditer(source):
-        if m.lastgroup not in ("space", "comment"):
-            out.append((m.lastgroup, m[0], line, start + m.start()))
-            if m[0][0] == "`" and "${" in m[0]:
-                out += _expressions(m[0], line, start + m.start())
-        line += m[0].count("\n")
-    return out
+def _template_end(source: str, at: int) -> int:
+    """The place after the template that starts at ``at``."""
+    at += 1
+    while at < len(source):
+        if source[at] == "\\":
+            at += 2
+        elif source[at] == "`":
+            return at + 1
+        elif source.startswith("${", at):
+            at = _expression_end(source, at + 2)
+        else:
+            at += 1
+    return len(source)
+
+
+def _expression_end(source: str, at: int) -> int:
+    """The place after the brace that closes a template's expression."""
+    depth = 1
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        if m is None:
+            at += 1
+        elif m.lastgroup == "template":
+            at = _template_end(source, at)
+        else:
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            at = m.end()
+            if not depth:
+                break
+    return at
 
 
-def _expressions(template: str, line: int, start: int) -> list[tuple[str, str, int, int]]:
-    """The tokens of a template's expressions, each in parentheses."""
+def tokens(source: str, line: int = 0, start: int = 0) -> list[tuple[str, str, int, int]]:
+    """(kind, text, line, place) without white space and comments. The expressions of a template follow it, each in
+    parentheses."""
     out, at = [], 0
-    while (at := template.find("${", at)) >= 0:
-        depth, end = 1, at + 2
-        while end < len(template) and depth:
-            depth += {"{": 1, "}": -1}.get(template[end], 0)
-            end += 1
-        here, place = line + template.count("\n", 0, at), start + at
-        out += [("op", "+", here, place), ("op", "(", here, place), *tokens(template[at + 2 : end - 1], here, place + 2), ("op", ")", here, place)]
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        if m is None:
+            at += 1
+            continue
+        end = _template_end(source, at) if m.lastgroup == "template" else m.end()
+        text = source[at:end]
+        if m.lastgroup == "template":
+            out.append(("string", text, line, start + at))
+            inner = 1
+            while (inner := text.find("${", inner)) >= 0:
+                close = _expression_end(text, inner + 2)
+                here, place = line + text.count("\n", 0, inner), start + at + inner
+                out += [("op", "+", here, place), ("op", "(", here, place), *tokens(text[inner + 2 : close - 1], here, place + 2), ("op", ")", here, place)]
+                inner = close
+        elif m.lastgroup not in ("space", "comment"):
+            out.append((m.lastgroup, text, line, start + at))
+        line += text.count("\n")
         at = end
     return out
 

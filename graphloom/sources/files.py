@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,13 +112,32 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, bytes long")
 
 
+def _read_one(spark: SparkSession, name: str) -> tuple[str | None, int | None]:
+    """A file's text, of one up to MOST_BYTES, and its size; null what can't be read."""
+    store, path = _store(spark, name)
+    try:
+        size = store.getFileStatus(path).getLen()
+        if size > MOST_BYTES:
+            return "", size
+        stream = store.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8", "replace"), size
+        finally:
+            stream.close()
+    except Py4JJavaError:
+        return None, None
+
+
 def read_files(spark: SparkSession, root: str, files: DataFrame, at_once: int = 10_000) -> DataFrame:
     """files (path) with content and bytes; content is null where a file can't be read, which is no error."""
     store, path = _store(spark, root)
     base = store.makeQualified(path).toString().rstrip("/")
-    names = [r[0] for r in files.select("path").collect()]  # the listing came from the driver
-    empty = spark.createDataFrame([], "path string, content string, bytes long")
-    out = empty
+    every = [r[0] for r in files.select("path").collect()]  # the listing came from the driver
+    # Spark's readers pass over files whose own name starts with a dot or an underscore; few are sources or rules.
+    hidden = [n for n in every if n.rpartition("/")[2][:1] in (".", "_")]
+    names = sorted(set(every) - set(hidden))
+    own = [(n, text, size) for n in hidden for text, size in [_read_one(spark, f"{base}/{n}")]]
+    out = spark.createDataFrame(own, "path string, content string, bytes long")
     for a in range(0, len(names), at_once):
         raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load([f"{base}/{n}" for n in names[a : a + at_once]])
         own = raw.select(F.expr(f"substring(path, {len(base) + 2})").alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("bytes"))
@@ -203,10 +223,12 @@ def git_log(spark: SparkSession, root: str, commits: int = 5000) -> DataFrame:
 
 
 def manifest_entries(manifests: DataFrame) -> DataFrame:
-    """(path, entry): entry files that package.json texts (path, content) name in main, module, browser, types, typings and bin."""
+    """(path, entry): entry files that package.json texts (path, content) name in main, module, browser, types, typings, bin and,
+    at any depth, exports."""
     fields = F.array(*[F.get_json_object("content", f"$.{k}") for k in ("main", "module", "browser", "types", "typings", "bin")])
     bins = F.map_values(F.from_json(F.get_json_object("content", "$.bin"), "map<string,string>"))
-    named = F.concat(F.filter(fields, lambda x: x.isNotNull() & ~x.startswith("{")), F.coalesce(bins, F.array().cast("array<string>")))
+    exported = F.coalesce(F.regexp_extract_all(F.get_json_object("content", "$.exports"), F.lit(r'"?(\./[^"*]+)"?(?!"?\s*:)(?:[,}\]\s]|$)'), 1), F.array().cast("array<string>"))
+    named = F.concat(exported, F.filter(fields, lambda x: x.isNotNull() & ~x.startswith("{")), F.coalesce(bins, F.array().cast("array<string>")))
     return manifests.select("path", F.explode(F.array_distinct(F.transform(named, lambda x: F.regexp_replace(x, r"^\./", "")))).alias("entry"))
 
 
@@ -295,3 +317,8 @@ def load_settings(text: str | None = None, environment: dict[str, str] | None =
                 problems.append(f"{source}: {key} must be a {kind.__name__}")
     out["extensions"] = effective_extensions(out["extensions"])
     return out, problems
+
+
+def emit_json(df: DataFrame, path: str) -> None:
+    """A table as JSON lines, sorted by all columns, so that equal tables give equal texts."""
+    df.orderBy(*df.columns).write.mode("errorifexists").json(path)

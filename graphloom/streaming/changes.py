@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import extension_of, has_noise_dir
+from ..sources.files import effective_extensions
+
 READ_KINDS = ["access", "open", "close_read", "read"]
 
 
+#: Files that aren't parsed but change how others are resolved or scanned.
+METADATA_FILES = ["package.json", "tsconfig.json", "jsconfig.json", ".gitignore", ".ignore"]
+
+
 def relevant(events: DataFrame) -> DataFrame:
     """Events (workspace, ts, kind, path) that may change the index: reads go, pathless ``other`` events stay."""
     return events.filter(~F.col("kind").isin(*READ_KINDS) & (F.col("path").isNotNull() | (F.col("kind") == "other")))
 
 
+def indexable(events: DataFrame, extensions: list[str] | None = None, noise: list[str] | None = None) -> DataFrame:
+    """Relevant events whose path a full scan would take, or that is a file of metadata; pathless ones stay."""
+    name = F.element_at(F.split("path", "/"), -1)
+    taken = extension_of(F.col("path")).isin(*effective_extensions(extensions)) | name.isin(*METADATA_FILES)
+    return relevant(events).filter(F.col("path").isNull() | taken & ~has_noise_dir(F.col("path"), noise))
+
+
+class Fresh:
+    """A value that is worked out anew only when it is older than some seconds."""
+
+    def __init__(self, make: Callable, seconds: float = 0.05):
+        self.make, self.seconds, self.at, self.value = make, seconds, -float("inf"), None
+
+    def get(self):
+        if time.monotonic() - self.at > self.seconds:
+            self.value, self.at = self.make(), time.monotonic()
+        return self.value
+
+
 def batches(events: DataFrame, gap: str, most_paths: int | None = None, watermark: str | None = None, most_span: str | None = None) -> DataFrame:
     """One row per workspace and batch: a burst of events with no pause of ``gap``; distinct paths, or a reconcile request.
 
