@@ -80,6 +80,7 @@ def resolve_members(refs: DataFrame, symbols: DataFrame, bindings: DataFrame, ex
     name the head decides: a definition that holds here, then a namespace, then an imported name; where it is none of them
     the whole is taken as a qualified name of the file. A bare name is a definition that holds here, else an imported one."""
     s = _with(symbols, declared="string", span_size="long", low="long", scope_low="long", scope_high="long").select(_SYMBOL)
+    s = stored(s)  # joined in a dozen places
     r = _with(refs, owner="string", at="long").select("ref", "path", "owner", "at", F.col("name").alias("raw"), required_space(F.col("kind")).alias("space"))
     r = stored(r.withColumn("head", F.split("raw", r"\.", 2)[0]).withColumn("tail", F.get(F.split("raw", r"\.", 2), F.lit(1))))
     spaces, names = namespaces_and_names(bindings, exports, symbols)

@@ -744,11 +744,11 @@ def symbol_import_edges(spark, sf_dir):
 
 def _import_states(spark, sf_dir):
     """Imports and files of two states: parts of size 7 lose their file, importers of size 8 go, and of size 9 import more."""
-    i, f = b.imports(spark, sf_dir)
+    i, f = map(stored, b.imports(spark, sf_dir))
     p = b.table(spark, sf_dir, "part").select("p_size", F.concat(F.lit("src/m/p"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("src/m/p"), "p_partkey", F.lit("/index.js")).alias("index"))
     lost = p.filter("p_size = 7").select("path").union(p.filter("p_size = 7").select("index"))
     more = i.join(p.filter("p_size = 9"), "path", "left_semi").select("path", F.lit("./p1").alias("specifier"))
-    return (i, i.join(p.filter("p_size = 8"), "path", "left_anti").union(more).distinct()), (f, f.join(lost, "path", "left_anti"))
+    return (i, stored(i.join(p.filter("p_size = 8"), "path", "left_anti").union(more).distinct())), (f, stored(f.join(lost, "path", "left_anti")))
 
 
 _SYNCED = "pt as (select concat('src/m/p', p_partkey, '.ts') pp, p_partkey pk, p_size from part), sy as (select ri.path, ri.specifier, case when t.p_size = 7 then ri.specifier else ri.dst end dst, ri.resolved and coalesce(t.p_size <> 7, true) resolved from ri join im on im.path = ri.path and im.specifier = ri.specifier left join pt t on t.pk = im.k and ri.resolved left join pt o on o.pp = ri.path where coalesce(o.p_size, 0) <> 8), one as (select 1 from part where p_partkey = 1 and p_size <> 7), ad as (select distinct im.path, './p1' specifier, case when exists (select 1 from one) then 'src/m/p1.ts' else './p1' end dst, exists (select 1 from one) resolved from im join pt on pp = im.path where p_size = 9)"
