@@ -565,3 +565,104 @@ def test_pipeline_decisions(spark, tmp_path):
     d = stages["mix"](spark, b, "")
     assert d.columns == df.columns and d.count() >= 3
     assert stages["pack"](spark, d, "").count() == d.count()
+
+
+CLASH = "_id long, _copy int, _h int, lang_pred string, score double, kept string, n_bytes long, id long, size int, copies int, label long, row long, packed string, _own0 string, `a b.c` int"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_tables_with_clashing_names(spark, empty):
+    """Null ids, texts and sources, empty and very long texts, ties, repeated rows; other columns come through unchanged."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(40)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30_000))
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "another text of the same id"), (2, "one two three four five six"), (3, None), (None, None), (None, "no id here"), (None, "no id here"), (4, ""), (5, ""), (6, " \t "), (7, long), (8, long + " end"), (9, "12 34")]
+    rest = (77, 5, 6, "xx", 0.25, "k", 8, 9, 10, 11, 12, 13, "p", "o", 14)
+    rows = [(d, t, "en", None if i % 3 else "s", len(t or ""), *rest) for i, (d, t) in enumerate(texts)]
+    df = spark.createDataFrame([] if empty else rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}")
+    seen = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.stored(stage(spark, df, ""), f"test-{name}")
+        assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+        assert all(tuple(r)[5:] == rest for r in out.collect())
+        seen[name], df = Counter((r["doc_id"], (r["text"] or "")[:30]) for r in out.collect()), out
+    packed = cp.STAGES[-1][1](spark, df, "").collect()
+    assert len(packed) >= sum(seen["mix"].values())
+    if empty:
+        assert not packed and not any(seen.values())
+        return
+    start = lambda t: t[:30]
+    language = Counter((d, start(t)) for d, t in texts if t and any(c.isalpha() for c in t))
+    assert seen["language"] == language
+    near = Counter({(1, start(texts[0][1])): 1, (1, start(texts[2][1])): 1, (None, "no id here"): 2, (7, start(long)): 1})
+    assert seen["near_duplicates"] == near == seen["repeated_passages"]
+    assert set(seen["mix"]) <= set(near) and max(seen["mix"].values()) <= 4
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over a small table: what each decision leaves, recomputed plainly."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    base = [[word() for _ in range(rng.randint(20, 200))] for _ in range(60)]
+    shared = " ".join(word() for _ in range(25))
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(base))
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = f"edit{i}"
+        text = " ".join(words) if rng.random() < 0.85 else f"{' '.join(word() for _ in range(60))} {shared} {' '.join(word() for _ in range(60))}"
+        rows.append((i, rng.choice([text] * 30 + [None, "", "1 2 3"]), rng.choice(["aa", "bb"]), rng.choice(["x", "y", "z"])))
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    kept = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    shingles = {r[0]: Counter(tuple(r[1].split()[k : k + 5]) for k in range(max(1, len(r[1].split()) - 4))) for r in kept}
+    parent = {r[0]: r[0] for r in kept}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in parent:
+        for b in parent:
+            if a < b and (least := sum((shingles[a] & shingles[b]).values())) >= 0.8 * sum((shingles[a] | shingles[b]).values()) and least:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    kept = [r for r in kept if find(r[0]) == r[0]]
+    seen, left = set(), {}
+    for d, t, _, s in kept:
+        data, gone = t.encode(), bytearray(len(t.encode()))
+        for k in range(len(data) - 49):
+            if data[k : k + 50] in seen:
+                gone[k : k + 50] = b"\1" * 50
+        seen |= {data[k : k + 50] for k in range(len(data) - 49)}
+        left[d] = (bytes(x for x, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore"), s)
+    sizes, words = Counter(), {d: len(t.split()) for d, (t, _) in left.items()}
+    for d, (_, s) in left.items():
+        sizes[s] += words[d]
+    copies = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert set(copies) <= set(left) and max(copies.values()) <= 2
+    total, weight, target, open_ = 1.5 * sum(sizes.values()), {"x": 5, "y": 2, "z": 1}, {}, set(sizes)
+    while open_:
+        rate = (total - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if rate * weight[s] > 2 * sizes[s]}
+        for s in over or open_:
+            target[s] = min(rate * weight[s], 2 * sizes[s])
+        open_ -= over or open_
+    for s in sizes:
+        taken = sum(n * words[d] for d, n in copies.items() if left[d][1] == s)
+        assert abs(taken - target[s]) <= max(words.values())
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(P.path("word_bpe_49k.json")).encode
+    for r in got:
+        ids = [*encode(left[r["doc_id"]][0], add_special_tokens=False).ids, 1][r["start"] : r["start"] + 4096]
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    bins = Counter()
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 4096 and len(bins) <= -(-sum(bins.values()) // 4096) + 1
