@@ -101,7 +101,7 @@ class ContextTree:
             before, pair = divmod(code, size * size)
             far[number[divmod(pair, size)], before] = len(rows)
             rows.append(self.bits([before, *divmod(pair, size)]))
-        return number.ravel(), near.ravel(), far.ravel(), np.stack(rows).astype(np.float32).ravel()
+        return number.reshape(-1), near.reshape(-1), far.reshape(-1), np.stack(rows).astype(np.float32).reshape(-1)
 
 
 class Model:

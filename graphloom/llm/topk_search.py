@@ -140,7 +140,7 @@ def to_whole(x: np.ndarray, scale: int) -> np.ndarray:
         scaled = np.floor(x * scale)
     if not x.size or np.abs(scaled).max() < 1 << 53:
         return scaled.astype(np.int64)
-    flat = [int(s) if math.isfinite(s) else math.floor(Fraction(v) * scale) for s, v in zip(scaled.ravel().tolist(), x.ravel().tolist(), strict=True)]
+    flat = [int(s) if math.isfinite(s) else math.floor(Fraction(v) * scale) for s, v in zip(scaled.reshape(-1).tolist(), x.reshape(-1).tolist(), strict=True)]
     return np.array(flat, object).reshape(x.shape)
 
 

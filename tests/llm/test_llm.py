@@ -8,7 +8,6 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
