@@ -277,9 +277,10 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(regexp_replace({0}, '([a-z])([
 _POSTINGS = f"fl as (select id, name, 1 bit, unnest({_TOKENS.format('name')}) token from sy union all select id, name, 2, unnest({_TOKENS.format('qualified')}) from sy union all select id, name, 4, unnest({_TOKENS.format('path')}) from sy union all select id, name, 8, unnest({_TOKENS.format('kind')}) from sy), po as (select token, id, name, bit_or(bit)::int fields from fl group by token, id, name)"
 
 
-@query(f"with {b.SYMBOLS_SQL}, {_POSTINGS} select * from po where token in ('red', 'widget', 'method', 'economy')")
-def term_postings(spark, sf_dir):
-    return search.postings(b.symbols(spark, sf_dir)).filter(F.col("token").isin("red", "widget", "method", "economy"))
+@query(f"with {b.SYMBOLS_SQL}, {_POSTINGS} select * from po")
+def term_postings_all(spark, sf_dir):
+    """The postings of every token."""
+    return search.postings(b.symbols(spark, sf_dir))
 
 
 _TERMS = "tm as (select id, name, count(*) m, sum((fields & 1 > 0)::int) n, sum((fields & 2 > 0)::int) q, sum((fields & 4 > 0)::int) p, sum((fields & 8 > 0)::int) k from po where token in ('red', 'widget', 'economy', 'method') group by id, name), ts as (select name as value, id definition_id, least(950000, 600000 + least(m, 6) * 35000 + least(n, 4) * 25000 + least(q, 4) * 10000 + least(p, 4) * 3000 + least(k, 2) * 1000 + case when m = 4 then 20000 else 0 end)::int score from tm)"
@@ -329,26 +330,29 @@ def resolve_alias(spark, sf_dir):
     return resolve.alias_targets(b.imports(spark, sf_dir)[0], _aliases(spark))
 
 
-@query("with recursive e as (select concat('f', c_custkey) file, 'x' exported, 'x' as local, case when c_custkey % 5 <> 0 then concat('f', c_custkey - 1) end source from customer), w as (select concat('f', c_custkey) file from customer where c_custkey % 7 = 0), r(file, here) as (select file, file from w union select r.file, e.source from r join e on e.file = r.here where e.source is not null) select r.file, 'x' as name, concat('id', substr(here, 2)) id from r join e on e.file = here where e.source is null")
-def resolve_reexports(spark, sf_dir):
+@query("with recursive e as (select concat('f', c_custkey) file, case when c_custkey % 5 <> 0 then concat('f', c_custkey - 1) end source from customer), r(file, here) as (select file, file from e union select r.file, e.source from r join e on e.file = r.here where e.source is not null) select r.file, 'x' as name, concat('id', substr(here, 2)) id from r join e on e.file = here where e.source is null")
+def resolve_reexports_all(spark, sf_dir):
+    """What the name that each file exports stands for, through chains of re-exports."""
     k = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     file = lambda c: F.concat(F.lit("f"), c.cast("string"))
     exports = k.select(file(F.col("k")).alias("file"), F.lit("x").alias("exported"), F.lit("x").alias("local"), F.when(F.col("k") % 5 != 0, file(F.col("k") - 1)).alias("source"))
     definitions = k.filter("k % 5 = 0").select(file(F.col("k")).alias("path"), F.lit("x").alias("name"), F.concat(F.lit("id"), F.col("k").cast("string")).alias("id"), F.lit(True).alias("exported"))
-    return resolve.resolve_exports(exports, definitions, k.filter("k % 7 = 0").select(file(F.col("k")).alias("file"), F.lit("x").alias("name")))
+    return resolve.resolve_exports(exports, definitions, k.select(file(F.col("k")).alias("file"), F.lit("x").alias("name")))
 
 
-@query("with d as (select p_name as name, p_partkey k, p_brand q, p_size from part), g as (select name, count(distinct q) n, arg_max(k, (p_size, k)) id from d group by name), g2 as (select name, count(distinct q) n, arg_max(concat('p', lpad(k::varchar, 12, '0')), (p_size, concat('p', lpad(k::varchar, 12, '0')))) id from d where p_size <= 2 group by name) select name ref, id from g2 where n = 1")
-def resolve_unique(spark, sf_dir):
-    p = b.table(spark, sf_dir, "part").filter("p_size <= 2")
-    s = p.select(F.col("p_name").alias("name"), F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("id"), F.col("p_brand").alias("qualified"), F.lit("a.ts").alias("path"), F.lit("method").alias("kind"), F.col("p_size").alias("span_size"))
-    refs = b.table(spark, sf_dir, "part").select(F.col("p_name").alias("ref"), F.col("p_name").alias("name"), F.lit("value").alias("space")).distinct()
-    return resolve.unique_definitions(refs, s)
+@query("with d as (select concat(p_name, ' ', p_size) as name, concat('p', lpad(p_partkey::varchar, 12, '0')) id, p_brand q, p_size from part) select name as ref, arg_max(id, (p_size, id)) id from d group by name having count(distinct q) = 1")
+def resolve_unique_all(spark, sf_dir):
+    """The definition of each name that has just one logical one; a part's name and size name it."""
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
+    p = b.table(spark, sf_dir, "part").withColumn("name", name)
+    s = p.select("name", F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("id"), F.col("p_brand").alias("qualified"), F.lit("a.ts").alias("path"), F.lit("method").alias("kind"), F.col("p_size").alias("span_size"))
+    return resolve.unique_definitions(p.select(F.col("name").alias("ref"), "name", F.lit("value").alias("space")).distinct(), s)
 
 
-@query("""with p as (select distinct l_suppkey key, l_orderkey as "at" from lineitem where l_linenumber = 1), s as (select s_suppkey key, concat('w', w) scope, s_suppkey * 10 + w * 37 % 900 low, s_suppkey * 10 + w * 37 % 900 + w * 500 high from supplier, range(1, 9) t(w)) select p.key, p."at", arg_min(scope, (high - low, scope)) scope from p join s on p.key = s.key and p."at" >= low and p."at" <= high group by 1, 2""")
-def range_join_scope(spark, sf_dir):
-    points = b.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("at")).distinct()
+@query("""with p as (select distinct l_suppkey key, l_orderkey as "at" from lineitem), s as (select s_suppkey key, concat('w', w) scope, s_suppkey * 10 + w * 37 % 900 low, s_suppkey * 10 + w * 37 % 900 + w * 500 high from supplier, range(1, 9) t(w)) select p.key, p."at", arg_min(scope, (high - low, scope)) scope from p join s on p.key = s.key and p."at" >= low and p."at" <= high group by 1, 2""")
+def range_join_scope_all(spark, sf_dir):
+    """The smallest scope around each supplier's order of every line."""
+    points = b.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("at")).distinct()
     s = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("w"))
     low = F.col("key") * 10 + F.col("w") * 37 % 900
     return resolve.enclosing_scopes(points, s.select("key", F.concat(F.lit("w"), "w").alias("scope"), low.alias("low"), (low + F.col("w") * 500).alias("high")))
@@ -568,14 +572,9 @@ def degradation(spark, sf_dir):
     return g.agg((n == 0).alias("undegraded"), n.alias("unparsed"), F.count_if(F.col("path").endswith(".vue")).alias("components"))
 
 
-@query(f"with {b.FILES_SQL}, l as (select path, doc_id, string_split(substr(content, 1, 300), chr(10)) x from fi where doc_id % 10 = 0) select path, array_to_string(list_transform(x, lambda y, i: concat(i, ': ', y)), chr(10)) excerpt, false truncated from l")
-def source_excerpt(spark, sf_dir):
-    return source.excerpt(b.files(spark, sf_dir).filter("doc_id % 10 = 0"), F.lit(0), F.lit(300))
-
-
 @query(f"with {b.FILES_SQL}, l as (select path, n_chars, string_split(substr(content, 1, 12288), chr(10)) x from fi) select path, array_to_string(list_transform(x[1:200], lambda y, i: concat(i, ': ', y)), chr(10)) excerpt, len(x) > 200 or n_chars > 12288 truncated from l")
 def source_excerpt_all(spark, sf_dir):
-    """source_excerpt of every file, from its start to its end, within the default limits."""
+    """The excerpt of every file, from its start to its end, within the default limits."""
     return source.excerpt(b.files(spark, sf_dir), F.lit(0), F.col("n_chars"))
 
 
@@ -631,18 +630,9 @@ def content_state(spark, sf_dir):
     return delta.content_state(b.versions(spark, sf_dir)[0])
 
 
-@query(f"with {b.VERSIONS_SQL}, w as (select distinct concat('d', doc_id, '.ts') path from documents where doc_id % 50 = 0 or doc_id % 50 = 1) select w.path, hash from w left join v2 on v2.path = w.path")
-def hash_point_lookup(spark, sf_dir):
-    v1, v2 = b.versions(spark, sf_dir)
-    gone = v1.join(v2, "path", "left_anti").select("path", "hash", F.lit(2).alias("seq"), F.lit(True).alias("deleted"))
-    rows = v1.select("path", "hash", F.lit(0).alias("seq"), F.lit(False).alias("deleted")).union(v2.select("path", "hash", F.lit(1), F.lit(False))).union(gone)
-    wanted = b.table(spark, sf_dir, "documents").filter("doc_id % 50 in (0, 1)").select(F.concat(F.lit("d"), "doc_id", F.lit(".ts")).alias("path")).distinct()
-    return source.hash_lookup(rows, wanted)
-
-
 @query(f"with {b.VERSIONS_SQL}, w as (select distinct concat('d', doc_id, '.ts') path from documents) select w.path, hash from w left join v2 on v2.path = w.path")
 def hash_point_lookup_all(spark, sf_dir):
-    """hash_point_lookup of every document's path."""
+    """The latest hash of every document's path."""
     v1, v2 = b.versions(spark, sf_dir)
     gone = v1.join(v2, "path", "left_anti").select("path", "hash", F.lit(2).alias("seq"), F.lit(True).alias("deleted"))
     rows = v1.select("path", "hash", F.lit(0).alias("seq"), F.lit(False).alias("deleted")).union(v2.select("path", "hash", F.lit(1), F.lit(False))).union(gone)
