@@ -204,15 +204,16 @@ def strong_components(adj: DataFrame) -> DataFrame:
 
     Nodes without a predecessor or successor go first. Then the least name that reaches each node is spread forward;
     within a name's region, what reaches that name backward is its component. Found components leave; regions repeat."""
-    adj = stored(adj.filter("src <> dst").distinct())
+    count = F.count(F.lit(1)).alias("n")
+    adj, size = measured(adj.filter("src <> dst").distinct(), count)
     found: DataFrame | None = None
     while True:
         while True:  # trim
-            n = adj.count()
+            n = size["n"]
             heads, tails = adj.select(F.col("dst").alias("n")).distinct(), adj.select(F.col("src").alias("n")).distinct()
             live = heads.join(tails, "n", "left_semi")
-            adj = stored(adj.join(live.withColumnRenamed("n", "src"), "src", "left_semi").join(live.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-            if adj.count() == n:
+            adj, size = measured(adj.join(live.withColumnRenamed("n", "src"), "src", "left_semi").join(live.withColumnRenamed("n", "dst"), "dst", "left_semi"), count)
+            if size["n"] == n:
                 break
         if not n:
             break
@@ -229,7 +230,7 @@ def strong_components(adj: DataFrame) -> DataFrame:
         roots = colour.filter("node = colour").select("node")
         reached = walk(stored(adjacency(inside, reverse=True)), roots).nodes.select("node").join(colour, "node")
         found = stored(reached if found is None else found.unionByName(reached))
-        adj = stored(adj.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        adj, size = measured(adj.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti"), count)
     if found is None:
         return adj.select(F.col("src").alias("node"), F.col("src").alias("component"))
     # A region's least name may be upstream of the cycle only if it is itself on it, or it would have been trimmed or left.
@@ -239,19 +240,18 @@ def strong_components(adj: DataFrame) -> DataFrame:
 
 def topological_layers(adj: DataFrame) -> DataFrame | None:
     """(node, layer) by longest path from the sources; None if there is a cycle or a self-loop."""
+    count = F.count(F.lit(1)).alias("n")
     adj = stored(adj.distinct())
-    left = stored(adj.select(F.col("src").alias("node")).union(adj.select("dst")).distinct())
-    done, layer = None, 0
-    while not left.isEmpty():
-        ready = stored(left.join(adj.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+    left, size = measured(adj.select(F.col("src").alias("node")).union(adj.select("dst")).distinct(), count)
+    layers: list[DataFrame] = []
+    while size["n"]:
+        ready, found = measured(left.join(adj.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), count)
+        if not found["n"]:
             return None
-        rows = ready.withColumn("layer", F.lit(layer))
-        done = stored(rows if done is None else done.unionByName(rows))
-        left = stored(left.join(ready, "node", "left_anti"))
+        layers.append(ready.withColumn("layer", F.lit(len(layers))))
+        left, size = measured(left.join(ready, "node", "left_anti"), count)
         adj = stored(adj.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
-        layer += 1
-    return done
+    return reduce(DataFrame.union, layers) if layers else None
 
 
 def hubs(edges: DataFrame, top: int = 20) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EXTENSIONS, TYPE_KINDS, normalize_path
-from ..plans.store import stored
+from ..plans.store import measured, stored
 
 
 _KNOWN_EXTENSION = r"\.(ts|tsx|mts|cts|js|jsx|mjs|cjs)$"
@@ -73,17 +75,20 @@ def resolve_exports(exports: DataFrame, symbols: DataFrame, wanted: DataFrame) -
     exports: (file, exported, local, source) with exported ``*`` for a star and source null for local exports. wanted:
     (file, name). A pair already seen is not followed again, so circles end."""
     asked = wanted.select("file", "name").distinct().select(F.col("file").alias("ask_file"), F.col("name").alias("ask_name"), "file", "name")
-    level, seen = stored(asked), None
+    count = F.count(F.lit(1)).alias("n")
+    level, size = measured(asked, count)
+    levels: list[DataFrame] = []
     out = None
-    while not level.isEmpty():
-        seen = stored(level if seen is None else seen.unionByName(level))
+    while size["n"]:
+        levels.append(level)
+        seen = reduce(DataFrame.unionByName, levels)
         here = level.join(symbols.filter("exported").select(F.col("path").alias("file"), "name", "id"), ["file", "name"]).select("ask_file", "ask_name", "id")
         links = level.join(exports, "file").filter("exported = name or exported = '*'")
         local = links.filter("source is null and exported = name").join(symbols.select(F.col("path").alias("file"), F.col("name").alias("local"), "id"), ["file", "local"]).select("ask_file", "ask_name", "id")
         found = here.unionByName(local)
         out = found if out is None else out.unionByName(found)
         step = links.filter("source is not null").select("ask_file", "ask_name", F.col("source").alias("file"), F.when(F.col("exported") == "*", F.col("name")).otherwise(F.col("local")).alias("name")).distinct()
-        level = stored(step.join(seen, ["ask_file", "ask_name", "file", "name"], "left_anti"))
+        level, size = measured(step.join(seen, ["ask_file", "ask_name", "file", "name"], "left_anti"), count)
     return (out if out is not None else asked.select("ask_file", "ask_name", F.lit("").alias("id")).limit(0)).distinct().select(F.col("ask_file").alias("file"), F.col("ask_name").alias("name"), "id")
 
 
