@@ -134,37 +134,53 @@ class Sums:
         return x[0] == y[0] and min(x[1], most) == min(y[1], most)
 
 
-def fillings(hist: dict[int, int], room: int, least: int, sums: Sums | None = None) -> Iterator[tuple[int, ...] | None]:
-    """Sets of pieces with a sum from least to room that no other one dominates, the fullest first, then large pieces
-    first. Only pieces that lead to a sum are tried. None stands for a dominated set that was passed over."""
-    items = sorted((n, c) for n, c in hist.items() if n <= room)
-    lengths = [n for n, _ in items]
-    reach = (sums or Sums(room)).of(items)
-    held = sum(1 << n for n in lengths)
+class Pieces:
+    """The pieces that may still go into a bin: lengths up to ``room`` in ascending order, their counts and the sums that the
+    first ones reach. One such table serves all nodes of a search, as it is loaded anew for a node that is gone back to;
+    so what a node keeps doesn't grow with the number of lengths."""
 
-    def reaches(i: int, total: int) -> bool:
+    def __init__(self, capacity: int):
+        self.sums = Sums(capacity)
+
+    def load(self, hist: dict[int, int], room: int) -> Pieces:
+        self.room = room
+        self.counts = hist
+        self.items = sorted((n, c) for n, c in hist.items() if n <= room)
+        self.lengths = [n for n, _ in self.items]
+        self.reach = self.sums.of(self.items)
+        self.held = sum(1 << n for n in self.lengths)
+        return self
+
+    def fillings(self, least: int) -> Iterator[tuple[int, ...] | None]:
+        """As ``fillings``; at each step the table must hold what it held at the first."""
+        for total in range(self.room, max(0, least) - 1, -1):
+            if self._reaches(len(self.items) - 1, total):
+                for chosen in self._extend(len(self.items) - 1, total, ()):
+                    yield None if self._dominated(chosen, self.room - total) else tuple(n for n, k in chosen for _ in range(k))
+
+    def _reaches(self, i: int, total: int) -> bool:
         """Whether the first i + 1 lengths have a set with this sum."""
-        return total == 0 or i >= 0 and bool(reach[min(i, len(reach) - 1)] >> total & 1)
+        return total == 0 or i >= 0 and bool(self.reach[min(i, len(self.reach) - 1)] >> total & 1)
 
-    def extend(top: int, total: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
+    def _extend(self, top: int, total: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[tuple[int, int], ...]]:
         """Sets with exactly this sum of lengths up to place top, after chosen."""
         if not total:
             yield chosen
             return
-        for i in range(min(top, bisect.bisect_right(lengths, total) - 1), -1, -1):
-            if not reaches(i, total):
+        for i in range(min(top, bisect.bisect_right(self.lengths, total) - 1), -1, -1):
+            if not self._reaches(i, total):
                 return
-            n, c = items[i]
+            n, c = self.items[i]
             for k in range(min(c, total // n), 0, -1):
-                if reaches(i - 1, total - k * n):
-                    yield from extend(i - 1, total - k * n, (*chosen, (n, k)))
+                if self._reaches(i - 1, total - k * n):
+                    yield from self._extend(i - 1, total - k * n, (*chosen, (n, k)))
 
-    def dominated(chosen: tuple[tuple[int, int], ...], gap: int) -> bool:
+    def _dominated(self, chosen: tuple[tuple[int, int], ...], gap: int) -> bool:
         """Whether an unused piece fits too, or could stand in for one or two chosen ones and fill the bin more (or as
         much, as one in place of two)."""
-        unused = held
+        unused = self.held
         for n, k in chosen:
-            if k == hist[n]:
+            if k == self.counts[n]:
                 unused &= ~(1 << n)
         span = (1 << gap) - 1  # sums more by 1 to gap
         if unused >> 1 & span or any(unused >> n + 1 & span for n, _ in chosen):
@@ -174,10 +190,11 @@ def fillings(hist: dict[int, int], room: int, least: int, sums: Sums | None = No
                 return True
         return False
 
-    for total in range(room, max(0, least) - 1, -1):
-        if reaches(len(items) - 1, total):
-            for chosen in extend(len(items) - 1, total, ()):
-                yield None if dominated(chosen, room - total) else tuple(n for n, k in chosen for _ in range(k))
+
+def fillings(hist: dict[int, int], room: int, least: int) -> Iterator[tuple[int, ...] | None]:
+    """Sets of pieces with a sum from least to room that no other one dominates, the fullest first, then large pieces
+    first. Only pieces that lead to a sum are tried. None stands for a dominated set that was passed over."""
+    return Pieces(room).load(hist, room).fillings(least)
 
 
 def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> list[Pattern]:
@@ -191,12 +208,15 @@ def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: i
     bins = sum(c for _, c in best)
     bound = lower_bound(hist, capacity)
     total = sum(n * c for n, c in hist.items())
-    sums, nodes = Sums(capacity), 0
-    # The branch searched: pieces left, bins and waste so far, and what is still to try there. A stack, as it may be deep.
-    stack: list[tuple[dict[int, int], int, int, Iterator[tuple[int, ...] | None]]] = []
+    pieces, nodes = Pieces(capacity), 0
+    # The branch searched: bins and waste so far, and what is still to try there. A stack, as it may be deep; the pieces
+    # left are those of its last node, and are put back with its pattern when that is given up.
+    stack: list[tuple[int, int, Iterator[tuple[int, ...] | None]]] = []
     done: list[Pattern] = []
+    left = dict(hist)
+    loaded = 0  # the depth of the node whose pieces the table holds
 
-    def enter(left: dict[int, int], used: int, waste: int) -> None:
+    def enter(used: int, waste: int) -> None:
         """Take the best-fit packing of the rest if it is better; else branch on the fillings around the largest piece."""
         nonlocal best, bins
         if nodes % LOOK == 0 or len(left) < 2 * LOOK:
@@ -206,34 +226,44 @@ def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: i
         spare = (bins - 1) * capacity - total - waste
         choices: Iterator[tuple[int, ...] | None] = iter(())
         if left and spare >= 0:
-            largest = max(left)
-            others = {n: c - (n == largest) for n, c in left.items() if c > (n == largest)}
-            choices = fillings(others, capacity - largest, capacity - largest - spare, sums)
-        stack.append((left, used, waste, choices))
+            choices = pieces.fillings(capacity - max(left) - spare)
+        stack.append((used, waste, choices))
 
-    enter(hist, 0, 0)
+    enter(0, 0)
     while stack and bins > bound and nodes < most_nodes:
-        left, used, waste, choices = stack[-1]
+        used, waste, choices = stack[-1]
+        largest = max(left, default=0)
+        if loaded != len(stack):
+            others = {n: c - (n == largest) for n, c in left.items() if c > (n == largest)}
+            pieces.load(others, capacity - largest)
+            loaded = len(stack)
         filling = next(choices, END)
         if filling is None:
             nodes += 1
             continue
         spare = (bins - 1) * capacity - total - waste
         # The fillings come fullest first, so that none after one with too much waste is better.
-        if filling is END or capacity - max(left) - sum(filling) > spare:
+        if filling is END or capacity - largest - sum(filling) > spare:
             stack.pop()
             if stack:
-                done.pop()
+                pattern, times = done.pop()
+                for n in pattern:
+                    left[n] = left.get(n, 0) + times
             continue
         nodes += 1
-        pattern = (max(left), *filling)
+        pattern = (largest, *filling)
         gap = capacity - sum(pattern)
         need = Counter(pattern)
         times = min(left[n] // k for n, k in need.items())
         if gap:
             times = min(times, spare // gap)
         done.append((pattern, times))
-        enter({n: c for n in left if (c := left[n] - need[n] * times)}, used + times, waste + gap * times)
+        for n, k in need.items():
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+        loaded = 0
+        enter(used + times, waste + gap * times)
     return best
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -405,6 +406,20 @@ def test_packing_of_many_lengths_reaches_the_bound():
     assert sum(c for _, c in found) == packing.lower_bound(hist, 4096)
 
 
+def test_packing_search_keeps_little_per_node():
+    """A deep search over many lengths holds neither a histogram nor sums for each of its nodes."""
+    rng = random.Random(5)
+    hist = Counter(rng.randint(200, 2200) for _ in range(6000))
+    tracemalloc.start()
+    try:
+        found = packing.pack_histogram(hist, most_nodes=600)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert Counter({n: sum(p.count(n) * c for p, c in found) for n in hist}) == hist and all(sum(p) <= 4096 for p, _ in found)
+    assert peak < 32 << 20
+
+
 def test_packed_pieces(spark):
     import public_tokenizers as P
 
