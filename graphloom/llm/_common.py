@@ -89,6 +89,18 @@ def lean(function, keeps: str = ""):
     return run
 
 
+def lean_group(function):
+    """As ``lean``, for a function of one group's table."""
+
+    def run(table):
+        forget("")
+        out = function(table)
+        trim()
+        return out
+
+    return run
+
+
 def trim() -> None:
     import ctypes
     import gc
@@ -183,7 +195,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """A 64-bit hash of data[s:e] for ordered, disjoint spans, in bounded memory."""
     out = np.empty(len(starts), np.uint64)
     if not len(starts):

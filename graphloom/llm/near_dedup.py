@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import lean, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, unstore, utf8, word_spans
+from ._common import lean, lean_group, mix, seeds, shingle_hashes, slices, small_batches, span_hashes, unstore, utf8, word_spans
 from ._common import stored as _stored
 from .components import components, joined
 
@@ -153,10 +153,14 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES, seed: int = 2024):
         g = np.random.default_rng(seed)
         self.factors = seeds(samples, seed) | np.uint64(1)
-        self.r = g.gamma(2.0, 1.0, (samples, _TABLE)).astype(np.float32)
-        self.over_r = (1 / self.r).astype(np.float32)
-        self.b = g.random((samples, _TABLE)).astype(np.float32)
-        self.ln_c = np.log(g.gamma(2.0, 1.0, (samples, _TABLE))).astype(np.float32)
+        self.r, self.b, self.ln_c = (np.empty((samples, _TABLE), np.float32) for _ in range(3))
+        # Row by row: the same numbers as at once, without tables of doubles beside.
+        for row in self.r:
+            row[:] = g.gamma(2.0, 1.0, _TABLE)
+        for row in self.b:
+            row[:] = g.random(_TABLE)
+        for row in self.ln_c:
+            row[:] = np.log(g.gamma(2.0, 1.0, _TABLE))
 
     def sample(self, runs: np.ndarray, w: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """A (texts, samples) array of 32-bit sample names; 0 for texts without shingles."""
@@ -177,9 +181,9 @@ class Sampler:
                 h = own * factor
                 i = (h >> np.uint64(48)).astype(np.int64)
                 j = (h >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)
-                b = self.b[k][i]
-                t = np.floor(lw * self.over_r[k][i] + b)
-                ln_a = self.ln_c[k][j] - self.r[k][i] * (t - b + np.float32(1))
+                r, b = self.r[k][i], self.b[k][i]
+                t = np.floor(lw * (np.float32(1) / r) + b)
+                ln_a = self.ln_c[k][j] - r * (t - b + np.float32(1))
                 # As bits, positive floats sort as whole numbers do.
                 key = np.maximum(ln_a + np.float32(256), np.float32(0)).view(np.uint32).astype(np.uint64) << np.uint64(32)
                 key |= name
@@ -269,7 +273,7 @@ def overlaps(row_a: np.ndarray, key_a: np.ndarray, row_b: np.ndarray, key_b: np.
     first = np.cumsum(n_b) - n_b
     rare = np.flatnonzero(~common[at_a] & (n_b[at_a] > 0))
     ends = np.cumsum(n_b[at_a[rare]])
-    cuts = [0, *(np.flatnonzero(np.diff(ends >> 20)) + 1).tolist(), len(rare)]
+    cuts = [0, *(np.flatnonzero(np.diff(ends >> 18)) + 1).tolist(), len(rare)]
     for low, high in zip(cuts, cuts[1:], strict=False):
         own = rare[low:high]
         times = n_b[at_a[own]]
@@ -374,7 +378,7 @@ def _crossing(large: DataFrame, labels: DataFrame, texts: DataFrame, idf, thresh
     met = head("x").join(head("y"), "bucket").filter("x <= y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("bucket", "x", "y")
     met = stored(met, "tile-pairs")
     sides = met.withColumn("tile", F.explode(F.array_distinct(F.array("x", "y"))))
-    return stored(sides.join(tiles.drop("lo", "hi"), ["bucket", "tile"]).groupBy("bucket", "x", "y").applyInArrow(_meet(idf, threshold), "a long, b long"), "links")
+    return stored(sides.join(tiles.drop("lo", "hi"), ["bucket", "tile"]).groupBy("bucket", "x", "y").applyInArrow(lean_group(_meet(idf, threshold)), "a long, b long"), "links")
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:

@@ -32,14 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import key_hash, lean, marked, mix, powers, prefix_hash, row_filter, slices, small_batches, stored, trim, utf8
+from ._common import key_hash, lean, lean_group, marked, mix, powers, prefix_hash, row_filter, slices, small_batches, stored, utf8
 
 WINDOW = 50
 GRAM = 24
 SPAN = WINDOW - GRAM + 1
 #: Bytes of a context: up to SPAN strings of WINDOW bytes.
 CONTEXT = WINDOW + SPAN - 1
-PIECE = 1 << 20
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 ANCHOR_BITS = 1 << 27
 LAST = (1 << 63) - 1
 #: Splitters are taken from about so many sampled anchors.
@@ -337,11 +338,17 @@ def _send_contexts(bits, splitters, bucket_bits: int, buckets: int):
 
         def send() -> Iterator[pa.RecordBatch]:
             found = Contexts.concat(held)
-            words = _words(np.concatenate([found.text, np.zeros((len(found), 80 - CONTEXT), np.uint8)], axis=1))
-            words = np.concatenate([words, found.counts.astype(np.uint64)[:, None]], axis=1)
+            held.clear()
+            words = np.zeros((len(found), 11), np.uint64)
+            padded = np.zeros((len(found), 80), np.uint8)
+            padded[:, :CONTEXT] = found.text
+            words[:, :10], words[:, 10] = padded.view(">u8"), found.counts
+            del padded
             order = multikey_sort(words)
-            found, words = found.take(order), words[order]
+            words = words[order]
             new = _new_rows(words)
+            del words
+            found = found.take(order)
             least = np.minimum.reduceat(found.ids, np.flatnonzero(new))[np.cumsum(new) - 1]
             mine = found.ids > least
             spans = np.stack([found.ids[mine], found.keys[mine], found.places[mine], found.places[mine] + found.counts[mine] + WINDOW - 1]) if mine.any() else np.zeros((4, 0), np.int64)
@@ -393,7 +400,7 @@ def _send_contexts(bits, splitters, bucket_bits: int, buckets: int):
                 size += len(at)
                 if size > HELD // 4:
                     yield from send()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from send()
 
@@ -422,8 +429,6 @@ def _resolve_bucket(table):
     spans = [np.frombuffer(zstandard.decompress(x), "<i8").reshape(4, -1) for x in table.column("spans").to_pylist() if x is not None]
     parts = ([resolve(Contexts.concat(contexts))] if contexts else []) + [list(x) for x in spans]
     merged = merge_spans(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
-    del contexts, spans, parts
-    trim()
     return pa.table([pa.array(x, pa.int64()) for x in merged], ["d", "rk", "start", "end"])
 
 
@@ -499,7 +504,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: str = "") ->
     bucket_bits = min(16, max(8, (estimate >> 22).bit_length()))
     modulus = max(16, estimate // SAMPLED)
     sent = sources.select("text").mapInArrow(lean(_send_anchors(bucket_bits, modulus)), "bucket int, hashes binary, samples binary")
-    told = sent.groupBy("bucket").applyInArrow(_repeated(bucket_bits), "bucket int, bits binary, samples binary").collect()  # ANCHOR_BITS bits and about SAMPLED samples
+    told = sent.groupBy("bucket").applyInArrow(lean_group(_repeated(bucket_bits)), "bucket int, bits binary, samples binary").collect()  # ANCHOR_BITS bits and about SAMPLED samples
     passes = np.zeros(ANCHOR_BITS // 8, np.uint8)
     width = ANCHOR_BITS >> bucket_bits + 3
     samples: list[bytes] = []
@@ -511,7 +516,7 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = (), with_kept: str = "") ->
     cuts = sorted({samples[i * len(samples) // buckets] for i in range(1, buckets)}) if samples else []
     shared, splitters = spark.sparkContext.broadcast(passes), spark.sparkContext.broadcast(cuts)
     contexts = sources.select("d", "rk", "text").mapInArrow(lean(_send_contexts(shared, splitters, bucket_bits, buckets)), "bucket int, contexts binary, spans binary")
-    spans = contexts.groupBy("bucket").applyInArrow(_resolve_bucket, "d long, rk long, start long, end long")
+    spans = contexts.groupBy("bucket").applyInArrow(lean_group(_resolve_bucket), "d long, rk long, start long, end long")
     spans = stored(spans, "spans")
 
     listed = spans.groupBy("d", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

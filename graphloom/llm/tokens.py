@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 
 from ._common import held
 
-#: Pieces that a worker remembers (some 150 MB).
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers (some 60 MB); others are encoded each time.
+REMEMBERED = 250_000
 #: White space other than blank and newline: a text that has any is encoded in one call.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_SPACE_WIDE = '\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'
